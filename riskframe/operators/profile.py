@@ -13,8 +13,6 @@ column has too many distinct values for an exact per-column value map.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -355,14 +353,6 @@ def outlier_summary(df: DataFrame, lower: float = 0.05, upper: float = 0.95,
 
 
 # ---------------------------------------------------------------- E14 - E16, E20
-def _pearson(x: Column, y: Column) -> Column:
-    """Pairwise-complete Pearson from stable moment aggregates; null when undefined."""
-    both = x.isNotNull() & y.isNotNull()
-    xv, yv = F.when(both, x), F.when(both, y)
-    den = F.sqrt(F.var_samp(xv) * F.var_samp(yv))
-    return F.when(den > 0, F.try_divide(F.covar_samp(xv, yv), den))
-
-
 def _usable_numeric(df: DataFrame, exclude: list[str]) -> list[str]:
     cols = numeric_columns(df, exclude=exclude, include_bool=False)
     if not cols:
@@ -373,13 +363,65 @@ def _usable_numeric(df: DataFrame, exclude: list[str]) -> list[str]:
 
 
 def _pair_table(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """One aggregate pass computing the correlation of every listed pair."""
-    def xc(c):
-        return finite_or_null(F.col(f"`{c}`").cast("double"))
-    row = df.agg(*[_pearson(xc(a), xc(b)).alias(f"r_{i}") for i, (a, b) in enumerate(pairs)])
-    structs = [F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"),
-                        F.col(f"r_{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
-    return row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
+    """Pairwise-complete Pearson r for every listed pair, in two scans.
+
+    Scan 1 learns each column's mean, min and max (k small scalars).  Scan 2
+    runs one ``mapInPandas`` task per partition that turns the centred block
+    into co-moment matrices with a few numpy matrix products and emits one
+    row per requested pair; ``groupBy(i, j).sum`` then merges the partitions
+    (map-side partial aggregation, one small row per pair and partition).
+    This keeps the plan size independent of the number of pairs, where a
+    wide ``agg`` of covariance expressions grows quadratically.
+    """
+    cols = sorted({c for p in pairs for c in p}, key=lambda c: df.columns.index(c))
+    idx = {c: i for i, c in enumerate(cols)}
+    xs = [finite_or_null(F.col(f"`{c}`").cast("double")) for c in cols]
+    stats = df.agg(*[F.avg(x).alias(f"m_{i}") for i, x in enumerate(xs)],
+                   *[F.min(x).alias(f"lo_{i}") for i, x in enumerate(xs)],
+                   *[F.max(x).alias(f"hi_{i}") for i, x in enumerate(xs)]).first()
+    means = [float(stats[f"m_{i}"]) if stats[f"m_{i}"] is not None else 0.0 for i in range(len(cols))]
+    constant = {c for i, c in enumerate(cols)
+                if stats[f"lo_{i}"] is None or stats[f"lo_{i}"] == stats[f"hi_{i}"]}
+    centred = df.select(*[(x - F.lit(means[i])).alias(f"c{i}") for i, x in enumerate(xs)])
+    pi = [idx[a] for a, _ in pairs]
+    pj = [idx[b] for _, b in pairs]
+
+    def comoments(batches):
+        import numpy as np
+        import pandas as pd
+        k = len(cols)
+        acc = None
+        for pdf in batches:
+            x = pdf.to_numpy(dtype="float64", na_value=np.nan).reshape(-1, k)
+            m = (~np.isnan(x)).astype("float64")
+            x0 = np.where(m > 0, x, 0.0)
+            part = np.stack([m.T @ m, x0.T @ m, (x0 * x0).T @ m, x0.T @ x0])
+            acc = part if acc is None else acc + part
+        if acc is None:
+            return
+        n, sx, sxx, sxy = acc
+        yield pd.DataFrame({"i": pi, "j": pj, "n": n[pi, pj], "sx": sx[pi, pj], "sy": sx[pj, pi],
+                            "sxx": sxx[pi, pj], "syy": sxx[pj, pi], "sxy": sxy[pi, pj]})
+
+    schema = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
+    sums = centred.mapInPandas(comoments, schema).groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in ["n", "sx", "sy", "sxx", "syy", "sxy"]])
+    n = F.col("n")
+    cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
+    vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
+    vy = F.col("syy") - F.col("sy") * F.col("sy") / n
+    names = F.array(*[F.lit(c) for c in cols])
+    # a spread below ~1e-9 of the second moment is rounding noise of a constant
+    tol = F.lit(1e-9)
+    r = F.when((n > 1) & (vx > tol * F.col("sxx")) & (vy > tol * F.col("syy")),
+               cov / F.sqrt(vx * vy))
+    out = sums.select(names[F.col("i")].alias("feature_1"), names[F.col("j")].alias("feature_2"), r.alias("r"))
+    if constant:
+        const = F.array(*[F.lit(c) for c in sorted(constant)])
+        out = out.withColumn("r", F.when(F.array_contains(const, F.col("feature_1"))
+                                         | F.array_contains(const, F.col("feature_2")), F.lit(None))
+                             .otherwise(F.col("r")))
+    return out
 
 
 def correlation_matrix(df: DataFrame, exclude: list[str] | None = None) -> DataFrame:
@@ -499,7 +541,7 @@ def duplicated_rows(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     else:
         first = g.groupBy(*keys).agg(F.min(row).alias("_first"))
         out = (g.join(first, keys, "inner")
-                .withColumn("n_out", F.col("count") - F.when(row == F.col("_first"), 1).otherwise(0)))
+                .withColumn("n_out", F.col("count") - F.when(row.eqNullSafe(F.col("_first")), 1).otherwise(0)))
     return (out.where(F.col("n_out") > 0)
                .select(F.explode(F.array_repeat(row, F.col("n_out").cast("int"))).alias("_r"))
                .select("_r.*"))

@@ -170,23 +170,49 @@ def feature_ctes(src: str, name: str = "feats", unlabelled: bool = False) -> lis
     ]
 
 
+# column order = the Spark plan's output order
 FEATURE_TYPES = {
-    "disbursed_amount": "double", "instalment_amount": "double", "current_balance_amount": "double",
-    "loan_to_value": "double", "fico_score": "bigint", "state": "string", "branch_id": "bigint",
-    "age": "bigint", "number_of_accounts": "bigint", "number_of_active_accounts": "bigint",
-    "number_of_overdue_accounts": "bigint", "number_of_accounts_opened_last_6_months": "bigint",
-    "average_account_age": "bigint", "number_of_inquiries": "bigint", "target": "int",
-    "employment_type": "string", "disbursement_year": "int", "disbursement_quarter": "int",
-    "disbursement_month": "int", "days_since_disbursement": "int", "is_bureau_excluded": "int",
-    "legit_fico_score": "double", "fico_rating": "string", "fico_rating_ordinal": "int",
-    "has_negative_current_balance": "int", "has_zero_current_balance": "int",
-    "current_balance_positive_amount": "double", "instalment_to_disbursed_ratio": "double",
-    "balance_to_disbursed_ratio": "double", "has_no_active_accounts": "int",
-    "active_account_ratio": "double", "overdue_account_ratio": "double",
-    "recently_opened_account_ratio": "double", "credit_history_age_band": "string",
-    "accounts_per_history_month": "double", "recently_opened_per_history_month": "double",
-    "inquiry_intensity_band": "string", "inquiry_per_history_month": "double",
-    "inquiry_to_account_ratio": "double", "is_high_ltv": "int", "is_very_high_ltv": "int",
+    "disbursed_amount": "double",
+    "instalment_amount": "double",
+    "current_balance_amount": "double",
+    "loan_to_value": "double",
+    "fico_score": "bigint",
+    "employment_type": "string",
+    "state": "string",
+    "branch_id": "bigint",
+    "age": "bigint",
+    "number_of_accounts": "bigint",
+    "number_of_active_accounts": "bigint",
+    "number_of_overdue_accounts": "bigint",
+    "number_of_accounts_opened_last_6_months": "bigint",
+    "average_account_age": "bigint",
+    "number_of_inquiries": "bigint",
+    "target": "int",
+    "disbursement_year": "int",
+    "disbursement_quarter": "int",
+    "disbursement_month": "int",
+    "days_since_disbursement": "int",
+    "is_bureau_excluded": "int",
+    "legit_fico_score": "double",
+    "fico_rating": "string",
+    "fico_rating_ordinal": "int",
+    "has_negative_current_balance": "int",
+    "has_zero_current_balance": "int",
+    "current_balance_positive_amount": "double",
+    "instalment_to_disbursed_ratio": "double",
+    "balance_to_disbursed_ratio": "double",
+    "has_no_active_accounts": "int",
+    "active_account_ratio": "double",
+    "overdue_account_ratio": "double",
+    "recently_opened_account_ratio": "double",
+    "credit_history_age_band": "string",
+    "accounts_per_history_month": "double",
+    "recently_opened_per_history_month": "double",
+    "inquiry_intensity_band": "string",
+    "inquiry_per_history_month": "double",
+    "inquiry_to_account_ratio": "double",
+    "is_high_ltv": "int",
+    "is_very_high_ltv": "int",
     "legit_ltv": "double",
 }
 FEATURE_COLS = list(FEATURE_TYPES)
@@ -194,8 +220,51 @@ FEATURE_DOUBLES = [c for c, t in FEATURE_TYPES.items() if t == "double"]
 FEATURE_NUMERIC = [c for c, t in FEATURE_TYPES.items() if t != "string"]
 FEATURE_STRINGS = [c for c, t in FEATURE_TYPES.items() if t == "string"]
 
-UNLABELLED_FEATURE_TYPES = {**{c: t for c, t in FEATURE_TYPES.items() if c != "target"},
-                            "number_of_delinquencies_last_6_months": "bigint",
-                            "recent_delinquency_account_ratio": "double"}
+# column order = the Spark plan's output order
+UNLABELLED_FEATURE_TYPES = {
+    "disbursed_amount": "double",
+    "instalment_amount": "double",
+    "current_balance_amount": "double",
+    "loan_to_value": "double",
+    "fico_score": "bigint",
+    "employment_type": "string",
+    "state": "string",
+    "branch_id": "bigint",
+    "age": "bigint",
+    "number_of_accounts": "bigint",
+    "number_of_active_accounts": "bigint",
+    "number_of_overdue_accounts": "bigint",
+    "number_of_accounts_opened_last_6_months": "bigint",
+    "number_of_delinquencies_last_6_months": "bigint",
+    "average_account_age": "bigint",
+    "number_of_inquiries": "bigint",
+    "disbursement_year": "int",
+    "disbursement_quarter": "int",
+    "disbursement_month": "int",
+    "days_since_disbursement": "int",
+    "is_bureau_excluded": "int",
+    "legit_fico_score": "double",
+    "fico_rating": "string",
+    "fico_rating_ordinal": "int",
+    "has_negative_current_balance": "int",
+    "has_zero_current_balance": "int",
+    "current_balance_positive_amount": "double",
+    "instalment_to_disbursed_ratio": "double",
+    "balance_to_disbursed_ratio": "double",
+    "has_no_active_accounts": "int",
+    "active_account_ratio": "double",
+    "overdue_account_ratio": "double",
+    "recently_opened_account_ratio": "double",
+    "recent_delinquency_account_ratio": "double",
+    "credit_history_age_band": "string",
+    "accounts_per_history_month": "double",
+    "recently_opened_per_history_month": "double",
+    "inquiry_intensity_band": "string",
+    "inquiry_per_history_month": "double",
+    "inquiry_to_account_ratio": "double",
+    "is_high_ltv": "int",
+    "is_very_high_ltv": "int",
+    "legit_ltv": "double",
+}
 
 BASE = LOAN_BOOK + feature_ctes("loans_labelled")
