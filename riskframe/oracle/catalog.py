@@ -135,3 +135,158 @@ SQL["missing_rate_table"] = _tail(UNLAB_BASE, P.missing_rate_table("ufeats", lis
 SQL["quantile_spread"] = with_(UNLAB_BASE, P.quantile_spread("ufeats", UNLABELLED_FEATURE_TYPES, 20))
 
 __all__ = ["SQL", "r"]
+
+
+# ---------------------------------------------------------------- evaluation on `scored`
+SCORED = LOAN_BOOK + [
+    """sb AS (SELECT DISTINCT unique_id, fico_score, number_of_overdue_accounts, number_of_accounts, target
+  FROM loan_book)""",
+    """scored AS (
+  SELECT unique_id AS row_id, target AS y, 'linear' AS model,
+    least(CAST(1.0 AS DOUBLE), CAST(855 - fico_score AS DOUBLE) / CAST(1222.0 AS DOUBLE)
+          + CAST(0.1 AS DOUBLE) * number_of_overdue_accounts) AS score FROM sb
+  UNION ALL
+  SELECT unique_id, target, 'ratio',
+    coalesce(CAST(number_of_overdue_accounts AS DOUBLE) / nullif(CAST(number_of_accounts AS DOUBLE), 0), 0.0)
+  FROM sb)""",
+    """cum AS (
+  SELECT model, score, pos, neg,
+    sum(pos) OVER (PARTITION BY model ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tp,
+    sum(neg) OVER (PARTITION BY model ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS fp,
+    sum(pos) OVER (PARTITION BY model) AS "P", sum(neg) OVER (PARTITION BY model) AS "N"
+  FROM (SELECT model, score, CAST(sum(y) AS BIGINT) AS pos, CAST(count(*) - sum(y) AS BIGINT) AS neg
+        FROM scored GROUP BY model, score) AS g)""",
+    """areas AS (
+  SELECT model, sum(neg * (tp - pos / 2.0)) / (CAST(any_value("P") AS DOUBLE) * any_value("N")) AS roc_auc,
+    sum(pos * tp / (tp + fp)) / CAST(any_value("P") AS DOUBLE) AS pr_auc
+  FROM cum GROUP BY model)""",
+    """cc AS (
+  SELECT model, count(*) FILTER (WHERE score < 0.5 AND y <> 1) AS tn,
+    count(*) FILTER (WHERE score >= 0.5 AND y <> 1) AS fp,
+    count(*) FILTER (WHERE score < 0.5 AND y = 1) AS fn,
+    count(*) FILTER (WHERE score >= 0.5 AND y = 1) AS tp
+  FROM scored GROUP BY model)""",
+]
+
+
+def _rt(num: str, den: str) -> str:
+    return f"coalesce(CAST({num} AS DOUBLE) / nullif(CAST({den} AS DOUBLE), 0), 0.0)"
+
+
+def _metric_cols(tp="tp", tn="tn", fp="fp", fn="fn") -> str:
+    n = f"({tp} + {tn} + {fp} + {fn})"
+    rec, spec = _rt(tp, f"{tp} + {fn}"), _rt(tn, f"{tn} + {fp}")
+    return (f"{_rt(f'{tp} + {tn}', n)} AS accuracy, ({rec} + {spec}) / 2.0 AS balanced_accuracy, "
+            f"{_rt(tp, f'{tp} + {fp}')} AS precision, {rec} AS recall, "
+            f"{_rt(f'2 * {tp}', f'2 * {tp} + {fp} + {fn}')} AS f1_score, "
+            f"{tp} AS true_positive, {tn} AS true_negative, {fp} AS false_positive, {fn} AS false_negative, "
+            f"{_rt(f'{tp} + {fp}', n)} AS predicted_positive_rate")
+
+
+def _sweep(grid_lo: int, grid_hi: int, model_filter: str = "") -> str:
+    return f"""sweep AS (
+  SELECT threshold, {_metric_cols()}, model FROM (
+    SELECT g.threshold, s.model,
+      count(*) FILTER (WHERE s.score >= g.threshold AND s.y = 1) AS tp,
+      count(*) FILTER (WHERE s.score >= g.threshold AND s.y <> 1) AS fp,
+      count(*) FILTER (WHERE s.score < g.threshold AND s.y = 1) AS fn,
+      count(*) FILTER (WHERE s.score < g.threshold AND s.y <> 1) AS tn
+    FROM scored AS s, (SELECT i / 20 AS threshold FROM range({grid_lo}, {grid_hi}) AS t(i)) AS g
+    {model_filter}
+    GROUP BY g.threshold, s.model) AS c)"""
+
+
+def _best(strategy_cols: list[str], where: str = "") -> str:
+    order = ", ".join(f"{c} DESC" for c in strategy_cols)
+    return f"""best AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY model ORDER BY {order}, threshold ASC) AS rn
+    FROM sweep {where}) AS t WHERE rn = 1)"""
+
+
+_METRICS_TABLE = f"""metrics AS (
+  SELECT cc.model, 0.5 AS threshold, {_metric_cols()}, areas.roc_auc, areas.pr_auc,
+    [[tn, fp], [fn, tp]] AS confusion_matrix
+  FROM cc JOIN areas ON cc.model = areas.model)"""
+_METRIC_ORDER = ["accuracy", "balanced_accuracy", "precision", "recall", "f1_score", "roc_auc", "pr_auc",
+                 "true_positive", "true_negative", "false_positive", "false_negative",
+                 "predicted_positive_rate"]
+_SWEEP_COLS = ["threshold", "accuracy", "balanced_accuracy", "precision", "recall", "f1_score",
+               "true_positive", "true_negative", "false_positive", "false_negative", "predicted_positive_rate"]
+_SELECTION = with_(SCORED + [_METRICS_TABLE, _sweep(1, 19), _best(["f1_score", "precision", "recall"]),
+                             """sel AS (
+  SELECT m.* EXCLUDE (confusion_matrix), """ + ", ".join(f"b.{c} AS selected_{c}" for c in _SWEEP_COLS) + """,
+    CASE WHEN m.model LIKE '%logistic_regression%' THEN 'Explainable baseline'
+         WHEN m.model LIKE '%decision_tree%' THEN 'Interpretable non-linear benchmark'
+         WHEN m.model LIKE '%random_forest%' THEN 'Tree ensemble benchmark'
+         WHEN m.model LIKE '%gradient_boosting%' THEN 'Boosting benchmark'
+         ELSE 'Candidate model' END AS model_role
+  FROM metrics AS m LEFT JOIN best AS b ON m.model = b.model)"""], "{body}")
+_RANK = ("row_number() OVER (ORDER BY pr_auc DESC NULLS LAST, selected_f1_score DESC NULLS LAST, "
+         "selected_recall DESC NULLS LAST, selected_precision DESC NULLS LAST, roc_auc DESC NULLS LAST, "
+         "model ASC)::INTEGER AS rank")
+
+SQL["predict_at_threshold"] = with_(SCORED, "SELECT *, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS prediction "
+                                            "FROM scored")
+SQL["predict_at_threshold"] = round_cols(SQL["predict_at_threshold"], ["score"])
+SQL["confusion_counts"] = with_(SCORED, "SELECT * FROM cc")
+SQL["threshold_metrics"] = round_cols(with_(SCORED, f"SELECT model, {_metric_cols()} FROM cc"),
+                                      ["accuracy", "balanced_accuracy", "precision", "recall", "f1_score",
+                                       "predicted_positive_rate"])
+SQL["roc_pr_auc"] = round_cols(with_(SCORED, "SELECT * FROM areas"), ["roc_auc", "pr_auc"])
+SQL["metrics_table"] = round_cols(with_(SCORED + [_METRICS_TABLE], "SELECT * FROM metrics"),
+                                  ["threshold", "accuracy", "balanced_accuracy", "precision", "recall",
+                                   "f1_score", "roc_auc", "pr_auc", "predicted_positive_rate"])
+SQL["classification_report"] = round_cols(with_(SCORED, f"""
+SELECT model, label, precision, recall, f1_score, support FROM (
+  SELECT model, '0' AS label, {_rt('tn', 'tn + fn')} AS precision, {_rt('tn', 'tn + fp')} AS recall,
+    {_rt('2 * tn', '2 * tn + fn + fp')} AS f1_score, tn + fp AS support FROM cc
+  UNION ALL
+  SELECT model, '1', {_rt('tp', 'tp + fp')}, {_rt('tp', 'tp + fn')}, {_rt('2 * tp', '2 * tp + fp + fn')}, tp + fn FROM cc
+  UNION ALL
+  SELECT model, 'accuracy', NULL, NULL, {_rt('tp + tn', 'tp + tn + fp + fn')}, tp + tn + fp + fn FROM cc
+  UNION ALL
+  SELECT model, 'macro avg', ({_rt('tn', 'tn + fn')} + {_rt('tp', 'tp + fp')}) / 2,
+    ({_rt('tn', 'tn + fp')} + {_rt('tp', 'tp + fn')}) / 2,
+    ({_rt('2 * tn', '2 * tn + fn + fp')} + {_rt('2 * tp', '2 * tp + fp + fn')}) / 2, tp + tn + fp + fn FROM cc
+  UNION ALL
+  SELECT model, 'weighted avg',
+    ({_rt('tn', 'tn + fn')} * (tn + fp) + {_rt('tp', 'tp + fp')} * (tp + fn)) / (tp + tn + fp + fn),
+    ({_rt('tn', 'tn + fp')} * (tn + fp) + {_rt('tp', 'tp + fn')} * (tp + fn)) / (tp + tn + fp + fn),
+    ({_rt('2 * tn', '2 * tn + fn + fp')} * (tn + fp) + {_rt('2 * tp', '2 * tp + fp + fn')} * (tp + fn))
+      / (tp + tn + fp + fn), tp + tn + fp + fn FROM cc) AS t"""), ["precision", "recall", "f1_score"])
+_SWEEP_DOUBLES = ["threshold", "accuracy", "balanced_accuracy", "precision", "recall", "f1_score",
+                  "predicted_positive_rate"]
+SQL["threshold_sweep"] = round_cols(with_(SCORED + [_sweep(1, 19)], "SELECT * FROM sweep"), _SWEEP_DOUBLES)
+SQL["best_thresholds_max_f1"] = round_cols(
+    with_(SCORED + [_sweep(1, 19), _best(["f1_score", "precision", "recall"])], "SELECT * FROM best"),
+    _SWEEP_DOUBLES)
+SQL["best_thresholds_max_precision_recall70"] = round_cols(
+    with_(SCORED + [_sweep(1, 19), _best(["precision", "recall", "f1_score"], "WHERE recall >= 0.70")],
+          "SELECT * FROM best"), _SWEEP_DOUBLES)
+_SEL_DOUBLES = (["threshold", "accuracy", "balanced_accuracy", "precision", "recall", "f1_score", "roc_auc",
+                 "pr_auc", "predicted_positive_rate"] + [f"selected_{c}" for c in _SWEEP_DOUBLES])
+SQL["model_selection_table"] = round_cols(_SELECTION.format(body=f"SELECT *, {_RANK} FROM sel"), _SEL_DOUBLES)
+SQL["final_model"] = round_cols(_SELECTION.format(
+    body=f"SELECT * FROM (SELECT *, {_RANK} FROM sel WHERE selected_recall >= 0.5) AS t WHERE rank = 1"),
+    _SEL_DOUBLES)
+SQL["threshold_sensitivity"] = round_cols(with_(SCORED + [_sweep(5, 16, "WHERE s.model = 'linear'")], """
+SELECT model, threshold, true_positive, true_negative, false_positive, false_negative, precision, recall,
+  predicted_positive_rate FROM sweep"""), ["threshold", "precision", "recall", "predicted_positive_rate"])
+SQL["roc_curve_points"] = round_cols(with_(SCORED, """
+SELECT model, score AS threshold, CAST(fp AS DOUBLE) / "N" AS fpr, CAST(tp AS DOUBLE) / "P" AS tpr FROM cum"""),
+    ["threshold", "fpr", "tpr"])
+SQL["pr_curve_points"] = round_cols(with_(SCORED, """
+SELECT model, score AS threshold, CAST(tp AS DOUBLE) / "P" AS recall, CAST(tp AS DOUBLE) / (tp + fp) AS precision
+FROM cum"""), ["threshold", "recall", "precision"])
+SQL["confusion_matrix_table"] = with_(SCORED, """
+SELECT model, y AS actual, count(*) FILTER (WHERE score < 0.5) AS predicted_0,
+  count(*) FILTER (WHERE score >= 0.5) AS predicted_1
+FROM scored GROUP BY model, y""")
+SQL["models_ranked_by_metric"] = round_cols(with_(SCORED + [_METRICS_TABLE], """
+SELECT model, metric, value, row_number() OVER (PARTITION BY metric ORDER BY value DESC, model)::INTEGER AS rank
+FROM (UNPIVOT (SELECT model, CAST(roc_auc AS DOUBLE) AS roc_auc, CAST(pr_auc AS DOUBLE) AS pr_auc,
+         CAST(f1_score AS DOUBLE) AS f1_score, CAST(precision AS DOUBLE) AS precision,
+         CAST(recall AS DOUBLE) AS recall, CAST(balanced_accuracy AS DOUBLE) AS balanced_accuracy
+       FROM metrics) ON roc_auc, pr_auc, f1_score, precision, recall, balanced_accuracy
+       INTO NAME metric VALUE value) AS u"""), ["value"])

@@ -289,3 +289,118 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 __all__ = ["QUERIES", "flagship", "F"]
+
+
+# ------------------------------------------------------------------ V, TH, L, N (scored fixture)
+from ..operators import evaluate, select  # noqa: E402
+
+FINAL_MIN_RECALL = 0.5
+
+
+def _scored(spark, sf):
+    return fixtures.scored(spark, sf)
+
+
+@register("predict_at_threshold")
+def q_predict(spark, sf):
+    """V1 at 0.5."""
+    return evaluate.predict_at_threshold(_scored(spark, sf), 0.5)
+
+
+@register("confusion_counts")
+def q_confusion(spark, sf):
+    """V2 at 0.5."""
+    return evaluate.confusion_counts(_scored(spark, sf), 0.5)
+
+
+@register("threshold_metrics")
+def q_threshold_metrics(spark, sf):
+    """V3 at 0.5."""
+    cc = evaluate.confusion_counts(_scored(spark, sf), 0.5)
+    m = evaluate.metrics_from_counts()
+    return cc.select("model", *[v.alias(k) for k, v in m.items()])
+
+
+@register("roc_pr_auc")
+def q_areas(spark, sf):
+    """V4 + V5."""
+    return evaluate.areas(_scored(spark, sf))
+
+
+@register("metrics_table")
+def q_metrics_table(spark, sf):
+    """V6 + V8: one row per model with the nested confusion matrix."""
+    return evaluate.metrics_table(_scored(spark, sf), 0.5)
+
+
+@register("classification_report")
+def q_report(spark, sf):
+    """V7."""
+    return evaluate.classification_report(_scored(spark, sf), 0.5)
+
+
+@register("threshold_sweep")
+def q_sweep(spark, sf):
+    """TH1 + TH2 on the default grid 0.05 .. 0.90."""
+    return evaluate.threshold_sweep(_scored(spark, sf))
+
+
+@register("best_thresholds_max_f1")
+def q_best_f1(spark, sf):
+    """TH3 + TH4, strategy max_f1."""
+    return evaluate.select_best_thresholds(evaluate.threshold_sweep(_scored(spark, sf)), "max_f1")
+
+
+@register("best_thresholds_max_precision_recall70")
+def q_best_prec(spark, sf):
+    """TH3 + TH4, max_precision with recall >= 0.70."""
+    return evaluate.select_best_thresholds(evaluate.threshold_sweep(_scored(spark, sf)),
+                                           "max_precision", min_recall=0.70)
+
+
+def _selection(spark, sf):
+    s = _scored(spark, sf)
+    best = evaluate.select_best_thresholds(evaluate.threshold_sweep(s), "max_f1")
+    return select.selection_table(evaluate.metrics_table(s, 0.5), best)
+
+
+@register("model_selection_table")
+def q_selection(spark, sf):
+    """L1 + L2 + L3 + L5."""
+    return _selection(spark, sf)
+
+
+@register("final_model")
+def q_final(spark, sf):
+    """L4 + L6 with selected recall >= 0.5."""
+    return select.select_final_model(_selection(spark, sf), min_recall=FINAL_MIN_RECALL)
+
+
+@register("threshold_sensitivity")
+def q_sensitivity(spark, sf):
+    """N7 for the linear scorer, grid 0.25 .. 0.75."""
+    return evaluate.threshold_sensitivity(_scored(spark, sf), "linear")
+
+
+@register("roc_curve_points")
+def q_roc_points(spark, sf):
+    """N10."""
+    return evaluate.roc_curve_points(_scored(spark, sf))
+
+
+@register("pr_curve_points")
+def q_pr_points(spark, sf):
+    """N11."""
+    return evaluate.pr_curve_points(_scored(spark, sf))
+
+
+@register("confusion_matrix_table")
+def q_cm_table(spark, sf):
+    """N12."""
+    return evaluate.confusion_matrix_table(_scored(spark, sf), 0.5)
+
+
+@register("models_ranked_by_metric")
+def q_ranked(spark, sf):
+    """N16."""
+    return evaluate.models_ranked_by_metric(evaluate.metrics_table(_scored(spark, sf), 0.5))
