@@ -97,8 +97,9 @@ def duplicate_summary(df: DataFrame, id_column: str | None = None) -> DataFrame:
         return full.select(F.col("n_rows").cast("bigint"), F.col("duplicate_rows").cast("bigint"))
     ids = df.groupBy(id_column).count().agg(
         F.sum(F.col("count") - 1).alias(f"duplicate_{id_column}"))
-    # both sides are single-row aggregates
-    return full.join(ids, how="inner", on=F.lit(True)).select(
+    # both sides are single-row aggregates, joined on a constant key
+    one = F.lit(1).alias("_one")
+    return full.select("*", one).join(ids.select("*", one), "_one").select(
         F.col("n_rows").cast("bigint"), F.col("duplicate_rows").cast("bigint"),
         F.col(f"duplicate_{id_column}").cast("bigint"))
 

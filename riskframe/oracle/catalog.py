@@ -290,3 +290,31 @@ FROM (UNPIVOT (SELECT model, CAST(roc_auc AS DOUBLE) AS roc_auc, CAST(pr_auc AS
          CAST(recall AS DOUBLE) AS recall, CAST(balanced_accuracy AS DOUBLE) AS balanced_accuracy
        FROM metrics) ON roc_auc, pr_auc, f1_score, precision, recall, balanced_accuracy
        INTO NAME metric VALUE value) AS u"""), ["value"])
+
+
+# ---------------------------------------------------------------- clustering evaluation
+from . import cluster_sql as X  # noqa: E402
+
+_CM = X.metrics_ctes()
+SQL["assigned_cluster_count"] = "SELECT count(DISTINCT label) AS n_assigned_clusters FROM embeddings"
+SQL["cluster_covering_sample"] = with_([X.assigned_cte("a3", 3)] + X.sample_ctes("a3", "smp", 100),
+                                       "SELECT row_id, features, cluster FROM smp")
+SQL["silhouette"] = round_cols(with_([X.assigned_cte("a3", 3)] + X.sample_ctes("a3", "smp", 10_000)
+                                     + [X.silhouette_cte("smp", "sil")], "SELECT * FROM sil"),
+                               ["silhouette_score"])
+SQL["cluster_size_stats"] = round_cols(with_([X.assigned_cte("a10", None)], """
+SELECT map_from_entries(list(struct_pack(k := cluster, v := n) ORDER BY cluster)) AS cluster_sizes,
+  CAST(sum(n) AS BIGINT) AS n_observations, count(*) AS n_assigned_clusters,
+  min(n) AS min_cluster_count, min(n) / sum(n) AS min_cluster_share, max(n) / sum(n) AS max_cluster_share
+FROM (SELECT cluster, count(*) AS n FROM a10 GROUP BY cluster) AS t"""), ["min_cluster_share", "max_cluster_share"])
+SQL["davies_bouldin_calinski"] = round_cols(with_([X.assigned_cte("a3", 3)] + X.eval_ctes("a3", "ev", "m", 3),
+                                                  "SELECT * FROM ev_scores"),
+                                            ["davies_bouldin_score", "calinski_harabasz_score", "inertia"])
+SQL["clustering_metrics"] = round_cols(with_(_CM, "SELECT * FROM cmetrics"), X.METRIC_DOUBLES)
+SQL["rank_clusterings"] = round_cols(with_(_CM, f"SELECT *, {X.RANK} FROM cmetrics"), X.METRIC_DOUBLES)
+SQL["valid_clusterings"] = round_cols(with_(_CM, "SELECT * FROM cmetrics WHERE is_valid_clustering"),
+                                      X.METRIC_DOUBLES)
+SQL["silhouette_curve"] = with_(_CM, X.curve("silhouette_score"))
+SQL["inertia_elbow_curve"] = with_(_CM, X.curve("inertia"))
+SQL["promising_models"] = round_cols(with_(_CM, f"SELECT * FROM (SELECT *, {X.RANK} FROM cmetrics) AS t "
+                                                "WHERE rank <= 3"), X.METRIC_DOUBLES)

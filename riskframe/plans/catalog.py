@@ -404,3 +404,86 @@ def q_cm_table(spark, sf):
 def q_ranked(spark, sf):
     """N16."""
     return evaluate.models_ranked_by_metric(evaluate.metrics_table(_scored(spark, sf), 0.5))
+
+
+# ------------------------------------------------------------------ X (embeddings labellings)
+from ..operators import cluster_eval  # noqa: E402
+
+CLUSTERINGS = [("label_k10", None, 10), ("labelmod_k2", 2, 2), ("labelmod_k3", 3, 3),
+               ("labelmod_k5", 5, 5)]
+COVERING_SAMPLE = 100
+
+
+def cluster_metrics(spark, sf):
+    parts = [cluster_eval.evaluate_clustering(fixtures.assigned(spark, sf, mod), name, k)
+             for name, mod, k in CLUSTERINGS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("assigned_cluster_count")
+def q_x1(spark, sf):
+    """X1 on cluster = label."""
+    return cluster_eval.assigned_cluster_count(fixtures.assigned(spark, sf))
+
+
+@register("cluster_covering_sample")
+def q_x2(spark, sf):
+    """100-row covering sample of label % 3."""
+    return cluster_eval.cluster_covering_sample(fixtures.assigned(spark, sf, 3), COVERING_SAMPLE, 42)
+
+
+@register("silhouette")
+def q_x3(spark, sf):
+    """X3 on label % 3."""
+    return cluster_eval.silhouette(fixtures.assigned(spark, sf, 3))
+
+
+@register("cluster_size_stats")
+def q_x4(spark, sf):
+    """X4 on cluster = label."""
+    return cluster_eval.cluster_size_stats(fixtures.assigned(spark, sf))
+
+
+@register("davies_bouldin_calinski")
+def q_x67(spark, sf):
+    """X6 + X7 (+ inertia) on label % 3."""
+    return cluster_eval.davies_bouldin_calinski(fixtures.assigned(spark, sf, 3))
+
+
+@register("clustering_metrics")
+def q_xmetrics(spark, sf):
+    """X3-X7 for four labellings of the embeddings."""
+    return cluster_metrics(spark, sf)
+
+
+@register("rank_clusterings")
+def q_x8(spark, sf):
+    """X8."""
+    return cluster_eval.rank_clusterings(cluster_metrics(spark, sf))
+
+
+@register("valid_clusterings")
+def q_x9(spark, sf):
+    """X9."""
+    return cluster_eval.filter_valid(cluster_metrics(spark, sf))
+
+
+@register("silhouette_curve")
+def q_x10(spark, sf):
+    """X10."""
+    return cluster_eval.metric_curve(cluster_metrics(spark, sf), "silhouette_score")
+
+
+@register("inertia_elbow_curve")
+def q_x11(spark, sf):
+    """X11."""
+    return cluster_eval.metric_curve(cluster_metrics(spark, sf), "inertia")
+
+
+@register("promising_models")
+def q_n14(spark, sf):
+    """First three ranked clusterings."""
+    return cluster_eval.rank_clusterings(cluster_metrics(spark, sf)).where(F.col("rank") <= 3)
