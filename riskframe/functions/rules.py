@@ -155,10 +155,13 @@ def cluster_feature_note(feature_col) -> Column:
 def segment_label(notes_array_col) -> Column:
     """First rule with a key contained in any of the notes (W10, substring match)."""
     notes = F.transform(col_(notes_array_col), lambda n: F.lower(n))
+
+    def has(key):
+        return F.exists(notes, lambda n: n.contains(key))
+
     expr = None
     for keys, value in SEGMENT_LABEL_RULES:
-        cond = reduce(lambda a, b: a | b,
-                      [F.exists(notes, lambda n, k=k: n.contains(k)) for k in keys])
+        cond = reduce(lambda a, b: a | b, [has(k) for k in keys])
         expr = F.when(cond, F.lit(value)) if expr is None else expr.when(cond, F.lit(value))
     return expr.otherwise(F.lit(SEGMENT_LABEL_DEFAULT))
 

@@ -318,3 +318,9 @@ SQL["silhouette_curve"] = with_(_CM, X.curve("silhouette_score"))
 SQL["inertia_elbow_curve"] = with_(_CM, X.curve("inertia"))
 SQL["promising_models"] = round_cols(with_(_CM, f"SELECT * FROM (SELECT *, {X.RANK} FROM cmetrics) AS t "
                                                 "WHERE rank <= 3"), X.METRIC_DOUBLES)
+
+
+# ---------------------------------------------------------------- separation and segment profiles
+from . import segment_sql  # noqa: E402
+
+SQL.update(segment_sql.build())

@@ -487,3 +487,137 @@ def q_x11(spark, sf):
 def q_n14(spark, sf):
     """First three ranked clusterings."""
     return cluster_eval.rank_clusterings(cluster_metrics(spark, sf)).where(F.col("rank") <= 3)
+
+
+# ------------------------------------------------------------------ P, W, N9, N13 (segmented loans)
+from ..operators import segments, separation  # noqa: E402
+
+SEG_EXCLUDE = ["unique_id", "target", "cluster", "cluster_ltv"]
+SEG_FEATURES = ["fico_score", "loan_to_value", "disbursed_amount", "current_balance_amount",
+                "number_of_accounts", "number_of_overdue_accounts", "number_of_inquiries", "age",
+                "average_account_age"]
+SEG_CATEGORICAL = ["employment_type", "state"]
+DOMAIN_FEATURES = ["fico_score", "loan_to_value", "number_of_overdue_accounts"]
+MANUAL_LABELS = {0: "Thin or excluded bureau file", 1: "Subprime borrowers"}
+
+
+def _seg(spark, sf):
+    return fixtures.segmented(spark, sf)
+
+
+def _profile(spark, sf):
+    return segments.profile_long(_seg(spark, sf), SEG_FEATURES)
+
+
+@register("attach_labels")
+def q_p1(spark, sf):
+    """Distinct loans joined with their cluster label on unique_id."""
+    seg = _seg(spark, sf)
+    book = fixtures.loan_book(spark, sf).dropDuplicates()
+    return separation.attach_labels_checked(book, seg.select("unique_id", "cluster"), "unique_id", "cluster")
+
+
+@register("separation_analysis")
+def q_p8(spark, sf):
+    """P2-P8 for the FICO-band labelling."""
+    return separation.analyze_separation(_seg(spark, sf), "cluster", SEG_EXCLUDE).drop("df_between", "df_within")
+
+
+@register("separation_many")
+def q_p9(spark, sf):
+    """Both labellings, model in the key."""
+    return separation.analyze_many(_seg(spark, sf), ["cluster", "cluster_ltv"], SEG_EXCLUDE) \
+        .drop("df_between", "df_within")
+
+
+@register("separation_p_values")
+def q_p5(spark, sf):
+    """P5: ANOVA F with its p-value (F-distribution tail, no SQL counterpart)."""
+    sep = separation.analyze_many(_seg(spark, sf), ["cluster"], SEG_EXCLUDE)
+    return separation.with_anova_p_value(sep).select("model", "feature", "anova_f_score", "anova_p_value")
+
+
+@register("top_separating_features")
+def q_p10(spark, sf):
+    """P10: top 15 for the FICO-band labelling."""
+    sep = separation.analyze_many(_seg(spark, sf), ["cluster", "cluster_ltv"], SEG_EXCLUDE)
+    return separation.top_separating_features(sep, "cluster", 15).drop("df_between", "df_within")
+
+
+@register("profile_features")
+def q_p11(spark, sf):
+    """Domain features then the top 5 data-driven ones, first occurrence kept."""
+    sep = separation.analyze_many(_seg(spark, sf), ["cluster"], SEG_EXCLUDE)
+    return separation.profile_features(separation.top_separating_features(sep, "cluster", 5), DOMAIN_FEATURES)
+
+
+@register("cluster_size_summary")
+def q_w2(spark, sf):
+    """W2."""
+    return segments.cluster_size_summary(_seg(spark, sf))
+
+
+@register("numeric_profile")
+def q_w3(spark, sf):
+    """Mean and median per cluster and feature."""
+    return segments.numeric_profile(_seg(spark, sf), SEG_FEATURES)
+
+
+@register("numeric_mean_profile")
+def q_w4(spark, sf):
+    """W4 (an unknown feature name is ignored)."""
+    return segments.numeric_mean_profile(_seg(spark, sf), SEG_FEATURES + ["no_such_feature"])
+
+
+@register("relative_profile")
+def q_w5(spark, sf):
+    """W5."""
+    return segments.relative_profile(_seg(spark, sf), SEG_FEATURES)
+
+
+@register("profile_long")
+def q_w6(spark, sf):
+    """W6."""
+    return _profile(spark, sf)
+
+
+@register("categorical_profile")
+def q_w7(spark, sf):
+    """W7, top 5 values per cluster."""
+    return segments.categorical_profile(_seg(spark, sf), SEG_CATEGORICAL, top_n=5)
+
+
+@register("top_distinguishing")
+def q_w8(spark, sf):
+    """|relative - 1| > 0.2, top 8 per cluster."""
+    return segments.top_distinguishing(_profile(spark, sf), 8, 0.2)
+
+
+@register("cluster_feature_notes")
+def q_w9(spark, sf):
+    """W9."""
+    return segments.cluster_feature_notes(_profile(spark, sf))
+
+
+@register("preliminary_labels")
+def q_w11(spark, sf):
+    """W10 + W11."""
+    return segments.preliminary_labels(segments.top_distinguishing(_profile(spark, sf), 8, 0.2))
+
+
+@register("manual_labels")
+def q_w12(spark, sf):
+    """W12 on the cluster size table."""
+    return segments.manual_labels(segments.cluster_size_summary(_seg(spark, sf)), MANUAL_LABELS)
+
+
+@register("cluster_profile_rounded")
+def q_n9(spark, sf):
+    """N9."""
+    return segments.cluster_profile_rounded(_seg(spark, sf), SEG_FEATURES)
+
+
+@register("cluster_sizes_top_models")
+def q_n13(spark, sf):
+    """N13 for the two labellings."""
+    return segments.cluster_sizes_many(_seg(spark, sf), ["cluster", "cluster_ltv"])

@@ -135,11 +135,13 @@ def assigned(spark: SparkSession, sf_dir: str, modulo: int | None = None) -> Dat
 
 
 def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct loans with a rule-made cluster on the FICO score."""
+    """Distinct loans with two rule-made labellings (FICO bands and LTV bands)."""
     book = loan_book(spark, sf_dir).dropDuplicates()
     cluster = (F.when(F.col("fico_score") < 400, F.lit(0))
                .when(F.col("fico_score") < 600, F.lit(1)).otherwise(F.lit(2)))
-    return book.withColumn("cluster", cluster)
+    ltv = (F.when(F.col("loan_to_value").isNull(), F.lit(0))
+           .when(F.col("loan_to_value") < 80, F.lit(1)).otherwise(F.lit(2)))
+    return book.withColumns({"cluster": cluster, "cluster_ltv": ltv})
 
 
 def doc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
