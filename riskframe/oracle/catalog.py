@@ -324,3 +324,51 @@ SQL["promising_models"] = round_cols(with_(_CM, f"SELECT * FROM (SELECT *, {X.RA
 from . import segment_sql  # noqa: E402
 
 SQL.update(segment_sql.build())
+
+
+# ---------------------------------------------------------------- split and preparation
+SPLIT = LOAN_BOOK + ["""spl AS (
+  SELECT *, rn <= floor(n_c * 0.2 + 0.5) AS is_test FROM (
+    SELECT *, row_number() OVER (PARTITION BY target ORDER BY md5(CAST(unique_id AS VARCHAR) || '|2'), unique_id) AS rn,
+      count(*) OVER (PARTITION BY target) AS n_c
+    FROM (SELECT DISTINCT * FROM loan_book) AS d) AS t)""", "tr AS (SELECT * FROM spl WHERE NOT is_test)"]
+SQL["stratified_split"] = with_(SPLIT, "SELECT unique_id, target, is_test FROM spl")
+SQL["balanced_weights"] = round_cols(with_(SPLIT, """
+SELECT unique_id, target, (SELECT count(*) FROM tr) / (2.0 * count(*) OVER (PARTITION BY target)) AS weight FROM tr"""),
+    ["weight"])
+SQL["ltv_outlier_imputer"] = round_cols(with_(SPLIT + ["""b AS (SELECT quantile_cont(loan_to_value, 0.01) AS lo,
+  quantile_cont(loan_to_value, 0.99) AS hi, quantile_cont(loan_to_value, 0.5) AS med FROM tr)"""], """
+SELECT unique_id, is_test, CASE WHEN loan_to_value < lo OR loan_to_value > hi THEN med
+  ELSE CAST(loan_to_value AS DOUBLE) END AS loan_to_value FROM spl, b"""), ["loan_to_value"])
+_SC = ["loan_to_value", "fico_score", "current_balance_amount", "number_of_inquiries"]
+SQL["median_impute_robust_scale"] = round_cols(with_(SPLIT + ["b AS (SELECT " + ", ".join(
+    f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS m_{i}, quantile_cont(CAST({c} AS DOUBLE), 0.25) AS a_{i}, "
+    f"quantile_cont(CAST({c} AS DOUBLE), 0.75) AS z_{i}" for i, c in enumerate(_SC)) + " FROM tr)"],
+    "SELECT unique_id, " + ", ".join(
+        f"(coalesce(CAST({c} AS DOUBLE), m_{i}) - m_{i}) / (CASE WHEN z_{i} - a_{i} = 0 THEN 1.0 ELSE z_{i} - a_{i} END)"
+        f" AS numeric__{c}" for i, c in enumerate(_SC)) + " FROM spl, b"), [f"numeric__{c}" for c in _SC])
+SQL["mode_impute_one_hot"] = round_cols(with_(SPLIT + ["""md AS (
+  SELECT employment_type AS m FROM tr WHERE employment_type IS NOT NULL GROUP BY employment_type
+  ORDER BY count(*) DESC, employment_type LIMIT 1)"""], """
+SELECT unique_id,
+  CASE WHEN coalesce(employment_type, (SELECT m FROM md)) = ' ' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "low_cardinality_categorical__employment_type_ ",
+  CASE WHEN coalesce(employment_type, (SELECT m FROM md)) = 'Missing' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS low_cardinality_categorical__employment_type_Missing,
+  CASE WHEN coalesce(employment_type, (SELECT m FROM md)) = 'Salaried' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS low_cardinality_categorical__employment_type_Salaried,
+  CASE WHEN coalesce(employment_type, (SELECT m FROM md)) = 'Self employed' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "low_cardinality_categorical__employment_type_Self employed"
+FROM spl"""), [])
+SQL["frequency_encode"] = round_cols(with_(SPLIT + ["""fq AS (
+  SELECT coalesce(state, 'Unknown') AS value, count(*) / sum(count(*)) OVER () AS freq FROM tr GROUP BY 1)"""], """
+SELECT unique_id, state, coalesce(freq, 0.0) AS state_frequency FROM spl LEFT JOIN fq ON coalesce(state, 'Unknown') = fq.value"""),
+    ["state_frequency"])
+SQL["quantile_cap"] = round_cols(with_(SPLIT + ["""b AS (SELECT quantile_cont(disbursed_amount, 0.01) AS d0,
+  quantile_cont(disbursed_amount, 0.99) AS d1, quantile_cont(loan_to_value, 0.01) AS l0,
+  quantile_cont(loan_to_value, 0.99) AS l1 FROM tr)"""], """
+SELECT unique_id, least(greatest(disbursed_amount, d0), d1) AS disbursed_amount,
+  CASE WHEN loan_to_value IS NULL THEN NULL ELSE least(greatest(loan_to_value, l0), l1) END AS loan_to_value
+FROM spl, b"""), ["disbursed_amount", "loan_to_value"])
+SQL["feature_groups"] = """
+SELECT * FROM (VALUES """ + ", ".join(
+    f"('{c}', 'numeric')" for c, t in FEATURE_TYPES.items() if t != "string" and c != "target") + """,
+  ('employment_type', 'low_cardinality_categorical'), ('fico_rating', 'low_cardinality_categorical'),
+  ('credit_history_age_band', 'low_cardinality_categorical'), ('inquiry_intensity_band', 'low_cardinality_categorical'),
+  ('state', 'high_cardinality_categorical')) AS t("column", feature_group)"""

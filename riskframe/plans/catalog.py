@@ -621,3 +621,88 @@ def q_n9(spark, sf):
 def q_n13(spark, sf):
     """N13 for the two labellings."""
     return segments.cluster_sizes_many(_seg(spark, sf), ["cluster", "cluster_ltv"])
+
+
+# ------------------------------------------------------------------ T1, T6, M, K (exact preparation)
+from ..operators import prep, split  # noqa: E402
+
+SPLIT_SEED = 2
+SCALE_COLUMNS = ["loan_to_value", "fico_score", "current_balance_amount", "number_of_inquiries"]
+CAP_COLUMNS = ["disbursed_amount", "loan_to_value"]
+
+
+def split_loans(spark, sf):
+    book = fixtures.loan_book(spark, sf).dropDuplicates()
+    return split.stratified_split(book, "target", "unique_id", 0.2, SPLIT_SEED)
+
+
+@register("stratified_split")
+def q_t1(spark, sf):
+    """20 % test rows per class, chosen by hash(unique_id, seed 2)."""
+    return split_loans(spark, sf).select("unique_id", "target", "is_test")
+
+
+@register("balanced_weights")
+def q_t6(spark, sf):
+    """T6 on the training rows."""
+    tr = split_loans(spark, sf).where(~F.col("is_test"))
+    return split.balanced_weights(tr, "target").select("unique_id", "target", "weight")
+
+
+@register("feature_groups")
+def q_m2(spark, sf):
+    """M2 on the labelled feature table (target excluded)."""
+    return prep.feature_group_table(labelled_features(spark, sf), exclude=[TARGET])
+
+
+@register("ltv_outlier_imputer")
+def q_m1(spark, sf):
+    """M1 fitted on the training rows, applied to all rows."""
+    s = split_loans(spark, sf)
+    m = prep.LtvOutlierImputer().fit(s.where(~F.col("is_test")))
+    return m.transform(s).select("unique_id", "is_test", "loan_to_value")
+
+
+@register("median_impute_robust_scale")
+def q_m4(spark, sf):
+    """M4 fitted on the training rows."""
+    s = split_loans(spark, sf)
+    m = prep.MedianImputeRobustScale(SCALE_COLUMNS).fit(s.where(~F.col("is_test")))
+    return m.transform(s).select("unique_id", *[f"numeric__{c}" for c in SCALE_COLUMNS])
+
+
+@register("mode_impute_one_hot")
+def q_m5(spark, sf):
+    """M5 on employment_type, fitted on the training rows."""
+    s = split_loans(spark, sf)
+    m = prep.ModeImputeOneHot(["employment_type"]).fit(s.where(~F.col("is_test")))
+    out = m.transform(s)
+    return out.select("unique_id", *[c for c in out.columns if c.startswith("low_cardinality_categorical__")])
+
+
+@register("target_encode")
+def q_m6(spark, sf):
+    """M6 on state: out-of-fold encodings for train rows, full-train encodings for test rows."""
+    s = split_loans(spark, sf)
+    tr, te = s.where(~F.col("is_test")), s.where(F.col("is_test"))
+    m = prep.TargetEncoder("state", "target", "unique_id").fit(tr)
+    tr_enc = m.transform(split.assign_folds(tr, "target", "unique_id", 5, SPLIT_SEED), train=True)
+    te_enc = m.transform(te)
+    col = "high_cardinality_categorical__state"
+    return tr_enc.select("unique_id", "is_test", col).unionByName(te_enc.select("unique_id", "is_test", col))
+
+
+@register("frequency_encode")
+def q_k1(spark, sf):
+    """K1 on state, fitted on the training rows."""
+    s = split_loans(spark, sf)
+    m = prep.FrequencyEncoder("state").fit(s.where(~F.col("is_test")))
+    return m.transform(s).select("unique_id", "state", "state_frequency")
+
+
+@register("quantile_cap")
+def q_k2(spark, sf):
+    """K2: clip to the training 1 % / 99 % quantiles."""
+    s = split_loans(spark, sf)
+    m = prep.QuantileCapper(CAP_COLUMNS).fit(s.where(~F.col("is_test")))
+    return m.transform(s).select("unique_id", *CAP_COLUMNS)
