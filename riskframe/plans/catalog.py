@@ -706,3 +706,123 @@ def q_k2(spark, sf):
     s = split_loans(spark, sf)
     m = prep.QuantileCapper(CAP_COLUMNS).fit(s.where(~F.col("is_test")))
     return m.transform(s).select("unique_id", *CAP_COLUMNS)
+
+
+# ------------------------------------------------------------------ T2-T8, I, CM (Spark ML; no SQL oracle)
+from ..operators import clusterers, train  # noqa: E402
+
+_RUNS: dict = {}
+PERMUTATION_MODELS = ["logistic_regression_baseline", "decision_tree_shallow"]
+CLUSTER_KS = range(3, 7)
+
+
+def model_table(spark, sf):
+    """Labelled features keeping unique_id (the row identity for joins)."""
+    raw = fixtures.loans_labelled(spark, sf)
+    cleaned = (raw.transform(clean.rename_columns).transform(clean.serial_day_to_date)
+               .transform(clean.standardize_missing).transform(clean.drop_duplicate_rows))
+    cleaned = clean.drop_noninformative_columns(
+        cleaned, [c for c in clean.rules.NONINFORMATIVE_COLUMNS if c != "unique_id"])
+    return features.drop_temporal_columns(features.FeatureEngineer().fit_transform(cleaned))
+
+
+def training_run(spark, sf):
+    key = (id(spark), sf)
+    if key not in _RUNS:
+        _RUNS[key] = (model_table(spark, sf), train.train_all_models(model_table(spark, sf), TARGET, "unique_id"))
+    return _RUNS[key]
+
+
+@register("classifier_metrics")
+def q_t8(spark, sf):
+    """T2-T8 + V8: the four trained classifiers on the test split."""
+    _, run = training_run(spark, sf)
+    return select.drop_nested_metrics(evaluate.metrics_table(run.scored, 0.5))
+
+
+@register("trained_best_thresholds")
+def q_t8_th(spark, sf):
+    """TH4 on the trained classifiers (max_f1)."""
+    _, run = training_run(spark, sf)
+    return evaluate.select_best_thresholds(evaluate.threshold_sweep(run.scored), "max_f1")
+
+
+@register("feature_names")
+def q_i1(spark, sf):
+    """I1."""
+    _, run = training_run(spark, sf)
+    return train.feature_names_table(spark, run.prepared.feature_names)
+
+
+@register("logistic_coefficients")
+def q_i2(spark, sf):
+    """I2 + I8."""
+    _, run = training_run(spark, sf)
+    name = "logistic_regression_baseline"
+    return train.logistic_coefficients(spark, run.models[name], run.prepared.feature_names, name)
+
+
+@register("top_drivers")
+def q_n5(spark, sf):
+    """N5."""
+    return train.top_drivers(q_i2(spark, sf), 10)
+
+
+@register("native_importance")
+def q_i4(spark, sf):
+    """I3 + I4."""
+    _, run = training_run(spark, sf)
+    return train.native_importance_all(spark, run)
+
+
+@register("top_importance_per_model")
+def q_n6(spark, sf):
+    """N6 (top 7) / N15 / I7."""
+    return train.top_features(q_i4(spark, sf), "importance", 7)
+
+
+@register("permutation_importance")
+def q_i5(spark, sf):
+    """I5 + I6 for the logistic and tree models, 5 repeats."""
+    table, run = training_run(spark, sf)
+    s = split.stratified_split(table, TARGET, "unique_id", 0.2, SPLIT_SEED)
+    test = s.where(F.col("is_test")).drop("is_test")
+    raw_cols = [c for c in test.columns if c not in ("unique_id", TARGET)]
+    return train.permutation_importance(run, test, raw_cols, TARGET, "unique_id", PERMUTATION_MODELS, 5)
+
+
+def clustering_inputs(spark, sf):
+    uf = model_table_unlabelled(spark, sf)
+    transform, _ = clusterers.clustering_preprocessor(uf, [], "unique_id")
+    return transform(uf).select(F.col("unique_id").alias("row_id"), "features")
+
+
+def model_table_unlabelled(spark, sf):
+    raw = fixtures.loans_unlabelled(spark, sf)
+    cleaned = (raw.transform(clean.rename_columns).transform(clean.serial_day_to_date)
+               .transform(clean.standardize_missing).transform(clean.drop_duplicate_rows))
+    cleaned = clean.drop_noninformative_columns(
+        cleaned, [c for c in clean.rules.NONINFORMATIVE_COLUMNS if c != "unique_id"])
+    return features.drop_temporal_columns(features.FeatureEngineer().fit_transform(cleaned))
+
+
+def clustering_run(spark, sf):
+    key = ("clusters", id(spark), sf)
+    if key not in _RUNS:
+        _RUNS[key] = clusterers.train_all_clusterers(clustering_inputs(spark, sf), CLUSTER_KS)
+    return _RUNS[key]
+
+
+@register("clusterer_metrics")
+def q_cm8(spark, sf):
+    """CM2-CM8: four algorithms x k = 3..6 on the unlabelled loans, ranked."""
+    metrics, _ = clustering_run(spark, sf)
+    return cluster_eval.rank_clusterings(metrics)
+
+
+@register("cluster_labels_wide")
+def q_cm9(spark, sf):
+    """CM9: one label column per fitted model, joined on the row id."""
+    _, labels = clustering_run(spark, sf)
+    models = [f"{a}_k{k}" for a in clusterers.ALGORITHMS for k in CLUSTER_KS]
+    return clusterers.labels_wide(labels, models)
