@@ -159,8 +159,16 @@ def binned_rates(view: str, cols: list[str], target: str, n_bins: int, strategy:
     for c in cols:
         x = _fin(c)
         if strategy == "quantile":
-            ps = ", ".join(str(i / n_bins) for i in range(n_bins + 1))
-            e = f"list_sort(list_distinct(quantile_cont({x}, [{ps}])))"
+            # linear interpolation written out: (hi_pos - pos) * lo + (pos - lo_pos) * hi, exact on ties
+            srt = f"list_sort(list({x}) FILTER (WHERE {x} IS NOT NULL))"
+            n = f"count({x})"
+            qs = []
+            for i in range(n_bins + 1):
+                pos = f"({n} - 1) * {i / n_bins}"
+                lo, hi = f"{srt}[CAST(floor({pos}) AS BIGINT) + 1]", f"{srt}[CAST(ceil({pos}) AS BIGINT) + 1]"
+                qs.append(f"(CASE WHEN {lo} = {hi} THEN {lo} ELSE (ceil({pos}) - {pos}) * {lo} "
+                          f"+ ({pos} - floor({pos})) * {hi} END)")
+            e = f"list_sort(list_distinct([{', '.join(qs)}]))"
         else:
             pts = ", ".join(f"min({x}) + {k} * ((max({x}) - min({x})) / {n_bins})" for k in range(n_bins))
             e = f"[{pts}, max({x})]"
