@@ -277,11 +277,14 @@ def quantile_edges(df: DataFrame, cols: list[str], n_bins: int, approx: bool = F
     ps = [i / n_bins for i in range(n_bins + 1)]
     row = df.agg(*[_quantile(finite_or_null(F.col(f"`{c}`").cast("double")), ps, approx).alias(f"q_{i}")
                    for i, c in enumerate(cols)],
-                 *[F.count_distinct(finite_or_null(F.col(f"`{c}`").cast("double"))).alias(f"d_{i}")
+                 *[F.min(finite_or_null(F.col(f"`{c}`").cast("double"))).alias(f"lo_{i}")
+                   for i, c in enumerate(cols)],
+                 *[F.max(finite_or_null(F.col(f"`{c}`").cast("double"))).alias(f"hi_{i}")
                    for i, c in enumerate(cols)]).first()
     out = {}
     for i, c in enumerate(cols):
-        if row[f"q_{i}"] is None or row[f"d_{i}"] <= 1:
+        # constant (<= 1 distinct value) iff min == max: no distinct-count expansion needed
+        if row[f"q_{i}"] is None or row[f"lo_{i}"] == row[f"hi_{i}"]:
             continue  # empty or constant column: skipped
         e = []
         for v in row[f"q_{i}"]:
@@ -358,9 +361,11 @@ def _usable_numeric(df: DataFrame, exclude: list[str]) -> list[str]:
     cols = numeric_columns(df, exclude=exclude, include_bool=False)
     if not cols:
         return []
-    row = df.agg(*[F.count_distinct(finite_or_null(F.col(f"`{c}`").cast("double"))).alias(f"d_{i}")
-                   for i, c in enumerate(cols)]).first()
-    return [c for i, c in enumerate(cols) if row[f"d_{i}"] > 1]
+    xs = [finite_or_null(F.col(f"`{c}`").cast("double")) for c in cols]
+    row = df.agg(*[F.min(x).alias(f"lo_{i}") for i, x in enumerate(xs)],
+                 *[F.max(x).alias(f"hi_{i}") for i, x in enumerate(xs)]).first()
+    # more than one distinct value iff min < max
+    return [c for i, c in enumerate(cols) if row[f"lo_{i}"] is not None and row[f"lo_{i}"] < row[f"hi_{i}"]]
 
 
 def _pair_table(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:

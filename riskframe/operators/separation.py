@@ -32,9 +32,11 @@ def usable_features(df: DataFrame, cols: list[str]) -> list[str]:
     """Drop all-missing or constant columns (after +-inf -> null)."""
     if not cols:
         return []
-    row = df.agg(*[F.count_distinct(finite_or_null(F.col(f"`{c}`").cast("double"))).alias(f"d_{i}")
-                   for i, c in enumerate(cols)]).first()
-    return [c for i, c in enumerate(cols) if row[f"d_{i}"] > 1]
+    xs = [finite_or_null(F.col(f"`{c}`").cast("double")) for c in cols]
+    row = df.agg(*[F.min(x).alias(f"lo_{i}") for i, x in enumerate(xs)],
+                 *[F.max(x).alias(f"hi_{i}") for i, x in enumerate(xs)]).first()
+    # more than one distinct value iff min < max
+    return [c for i, c in enumerate(cols) if row[f"lo_{i}"] is not None and row[f"lo_{i}"] < row[f"hi_{i}"]]
 
 
 def median_impute(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
