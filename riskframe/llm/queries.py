@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskframe.llm.common import table
 from riskframe.llm.decontam import leak_report
+from riskframe.llm.langid import language_report
 from riskframe.llm.mixing import mix_report
 from riskframe.llm.neardup import near_duplicate_report
+from riskframe.llm.quality import quality_report
 from riskframe.llm.sharding import shard_report
 from riskframe.llm.toxicity import toxicity_report
 
@@ -16,6 +18,14 @@ def op2_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_report(table(spark, sf_dir, "documents"))
 
 
+def op3_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(table(spark, sf_dir, "documents"))
+
+
 def op5_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
@@ -34,6 +44,8 @@ def op9_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_bagminhash_classes": op2_bagminhash_classes,
+    "op3_rule_quality": op3_rule_quality,
+    "op4_byte_cnn_language": op4_byte_cnn_language,
     "op5_pareto_mix": op5_pareto_mix,
     "op6_histogram_shards": op6_histogram_shards,
     "op7_nearest_toxicity": op7_nearest_toxicity,
