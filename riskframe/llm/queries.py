@@ -11,9 +11,14 @@ from riskframe.llm.mixing import mix_report
 from riskframe.llm.neardup import near_duplicate_report
 from riskframe.llm.quality import quality_report
 from riskframe.llm.sharding import shard_report
+from riskframe.llm.topk import embedding_top_k
 from riskframe.llm.toxicity import toxicity_report
 
 
+def op1_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op2_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_report(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ def op9_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_cover_tree_top_k": op1_cover_tree_top_k,
     "op2_bagminhash_classes": op2_bagminhash_classes,
     "op3_rule_quality": op3_rule_quality,
     "op4_byte_cnn_language": op4_byte_cnn_language,
@@ -52,4 +58,20 @@ QUERIES = {
     "op9_bm25_decontamination": op9_bm25_decontamination,
 }
 
-SQL: dict[str, str] = {}
+OP1 = """
+WITH v AS (
+    SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))) AS c
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    GROUP BY vec_id),
+scored AS (
+    SELECT q.vec_id AS query_id, r.vec_id,
+           CAST(list_sum(list_transform(list_zip(q.c, r.c), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))) AS BIGINT) AS score
+    FROM v q JOIN v r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM scored)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM ranked WHERE n <= 5
+"""
+
+SQL: dict[str, str] = {"op1_cover_tree_top_k": OP1}
