@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from riskframe.llm.common import table
 from riskframe.llm.decontam import leak_report
 from riskframe.llm.langid import language_report
+from riskframe.llm.licenses import license_report
 from riskframe.llm.mixing import mix_report
 from riskframe.llm.neardup import near_duplicate_report
+from riskframe.llm.pii import surrogate_report
 from riskframe.llm.quality import quality_report
 from riskframe.llm.sharding import shard_report
 from riskframe.llm.topk import embedding_top_k
@@ -47,6 +49,14 @@ def op9_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogate_report(table(spark, sf_dir, "documents"))
+
+
+def op10_patience_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_cover_tree_top_k": op1_cover_tree_top_k,
     "op2_bagminhash_classes": op2_bagminhash_classes,
@@ -56,6 +66,8 @@ QUERIES = {
     "op6_histogram_shards": op6_histogram_shards,
     "op7_nearest_toxicity": op7_nearest_toxicity,
     "op9_bm25_decontamination": op9_bm25_decontamination,
+    "op8_pii_surrogates": op8_pii_surrogates,
+    "op10_patience_licenses": op10_patience_licenses,
 }
 
 OP1 = """
