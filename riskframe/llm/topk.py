@@ -248,7 +248,7 @@ def _cells_for(groups: DataFrame, net: np.ndarray, reach: dict[int, float], near
                     keep = np.argsort(((b - a) ** 2).sum(axis=1), kind="stable")[:nearest]
                 else:
                     x = b @ a + g.radius * np.sqrt((b ** 2).sum(axis=1)) + radius * np.sqrt(a @ a) + g.radius * radius
-                    keep = np.nonzero(x + SLACK * (1 + np.abs(x)) >= (-np.inf if g.low is None else g.low))[0]
+                    keep = np.nonzero(x + SLACK * (1 + np.abs(x)) >= (-np.inf if pd.isna(g.low) else g.low))[0]
                 out += [(g.cell, g.part, g.low, int(cells[c])) for c in keep]
             yield pd.DataFrame(out, columns=["cell", "part", "low", "r_cell"])
     return groups.select("cell", "part", "centre", "radius", "low").mapInPandas(choose, "cell int, part int, low double, r_cell int")

@@ -28,7 +28,8 @@ EXAMPLES, VOCABULARY = 4_000, 2_000
 NEIGHBOURS, BLOCK = 15, 64
 #: lengths of word starts that are terms
 STARTS = (4, 5)
-MIN_PLACES, MIN_CHI2, MIN_LIFT = 5, 40.0, 4.0
+#: a term needs places, significance (chi-square), strength (chi-square over documents) and a lift
+MIN_PLACES, MIN_CHI2, MIN_PHI2, MIN_LIFT = 3, 20.0, 0.01, 4.0
 CHECKED = 1_500
 SCORED = "struct<score:double,evidence:array<struct<doc_id:long,similarity:double,label:int>>>"
 
@@ -168,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 4, rest: int = 2) -> Ne
     # distinct places instead of documents: what only the copies of one text share counts once
     vocab = (terms.groupBy("term", "place").agg(F.max("y").alias("y"))
              .groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("y").alias("a"))
-             .where((F.col("df") >= MIN_PLACES) & (chi2 >= MIN_CHI2) & ((lift >= MIN_LIFT) | (lift <= 1 / MIN_LIFT)))
+             .where((F.col("df") >= MIN_PLACES) & (chi2 >= max(MIN_CHI2, MIN_PHI2 * total)) & ((lift >= MIN_LIFT) | (lift <= 1 / MIN_LIFT)))
              .orderBy(chi2.desc(), "term").limit(VOCABULARY).select("term", "df").collect())
     words = [(r["term"], float(np.log((1 + total) / (1 + r["df"])) + 1)) for r in sorted(vocab, key=lambda r: r["term"])]
     number = {w: i for i, (w, _) in enumerate(words)}
