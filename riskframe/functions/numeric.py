@@ -20,13 +20,18 @@ def q6(c) -> Column:
     Used on every computed double that leaves a query, so results do not
     depend on summation order (the oracle applies the same expression).
     """
-    return F.floor(col_(c) * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
+    return round_to(c, 6)
 
 
 def round_to(c, digits: int) -> Column:
-    """Half-up rounding to ``digits`` decimals, same formula as :func:`q6`."""
+    """Half-up rounding to ``digits`` decimals, same formula as :func:`q6`.
+
+    ``floor`` gives a long, so values beyond its range (which have no such
+    decimals) stay as they are; NaN becomes null.
+    """
     s = float(10 ** digits)
-    return F.floor(col_(c) * F.lit(s) + F.lit(0.5)) / F.lit(s)
+    x = col_(c).cast("double")
+    return F.when(F.abs(x) < F.lit(9e18 / s), F.floor(x * F.lit(s) + F.lit(0.5)) / F.lit(s)).when(~F.isnan(x), x)
 
 
 def finite_or_null(c) -> Column:

@@ -259,9 +259,11 @@ class TargetEncoder:
                     .select("value", (F.col("n") - F.coalesce("fn", F.lit(0))).alias("n"),
                             (F.col("s") - F.coalesce("fs", F.lit(0.0))).alias("s"),
                             (F.col("ss") - F.coalesce("fss", F.lit(0.0))).alias("ss"))
-                    .where(F.col("n") > 0))
+                    .withColumn("n", F.nullif(F.col("n"), F.lit(0))))
             oof_parts.append(comp.select("value", F.lit(r["fold"]).alias("fold"),
-                                         _encode(F.col("n"), F.col("s"), F.col("ss"), m_o, v_o).alias("enc")))
+                                         # a category of this fold only: the mean of the other folds
+                                         F.coalesce(_encode(F.col("n"), F.col("s"), F.col("ss"), m_o, v_o),
+                                                    F.lit(m_o)).alias("enc")))
         oof = oof_parts[0]
         for p in oof_parts[1:]:
             oof = oof.unionByName(p)

@@ -13,6 +13,8 @@ column has too many distinct values for an exact per-column value map.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -545,8 +547,9 @@ def duplicated_rows(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     if set(keys) == set(cols):
         out = g.withColumn("n_out", F.col("count") - 1)
     else:
-        first = g.groupBy(*keys).agg(F.min(row).alias("_first"))
-        out = (g.join(first, keys, "inner")
+        first = g.groupBy(*[F.col(f"`{k}`").alias(f"_key_{i}") for i, k in enumerate(keys)]).agg(F.min(row).alias("_first"))
+        same = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)])
+        out = (g.join(first, same, "inner")
                 .withColumn("n_out", F.col("count") - F.when(row.eqNullSafe(F.col("_first")), 1).otherwise(0)))
     return (out.where(F.col("n_out") > 0)
                .select(F.explode(F.array_repeat(row, F.col("n_out").cast("int"))).alias("_r"))
