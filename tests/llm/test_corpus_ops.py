@@ -149,7 +149,7 @@ def test_quality_language_toxicity_on_held_out_rows(spark, docs, labels):
     held = [r for r in q if r["held_out"] and r["doc_id"] in truth]
     assert np.mean([r["predicted"] == truth[r["doc_id"]]["quality"] for r in held]) > 0.93
     held = [r for r in t if r["held_out"] and r["doc_id"] in truth]
-    assert np.mean([r["predicted"] == truth[r["doc_id"]]["toxic"] for r in held]) > 0.93
+    assert np.mean([r["predicted"] == truth[r["doc_id"]]["toxic"] for r in held]) > 0.95
     assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in g if r["held_out"]]) > 0.93
 
 
