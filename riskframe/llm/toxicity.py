@@ -29,7 +29,7 @@ NEIGHBOURS, BLOCK = 15, 64
 #: lengths of word starts that are terms
 STARTS = (4, 5)
 #: a term needs places, significance (chi-square), strength (chi-square over documents) and a lift
-MIN_PLACES, MIN_CHI2, MIN_PHI2, MIN_LIFT = 3, 20.0, 0.01, 4.0
+MIN_PLACES, MIN_CHI2, MIN_PHI2, MIN_LIFT = 3, 10.0, 0.01, 4.0
 CHECKED = 1_500
 SCORED = "struct<score:double,evidence:array<struct<doc_id:long,similarity:double,label:int>>>"
 
