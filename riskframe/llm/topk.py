@@ -1,11 +1,12 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
 Vectors become whole numbers, floor(256 x).  Equal vectors are searched once.
-A net of bounded size over the vectors (farthest points of a bounded sample)
-forms the upper level of the tree; below it, the vectors of each net cell are
-dealt into blocks of bounded size and every block has its own cover tree: a
-node has a centre, a covering radius and children whose centres are a net of
-its points.  Queries are grouped by cell and have trees of the same kind.
+A net of bounded size over the vectors (farthest points of a bounded sample,
+as many as the vectors fill blocks) forms the upper level of the tree; below it,
+the vectors of each net cell are dealt into blocks of bounded size and every
+block has its own cover tree: a node has a centre, a covering radius and
+children whose centres are a net of its points.  Queries are grouped by a net
+of their own and have trees of the same kind.
 
 A pair of nodes (query centre a and radius r, reference centre b and radius s)
 can't score above a.b + r|b| + s|a| + rs.  Each query group first searches one
@@ -277,9 +278,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     if not sample or wanted.isEmpty():
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     points = matrix([r["v"] for r in sample], max(len(r["v"]) for r in sample))
+    # the first points of a farthest-first net are a net themselves
     net = points[net_of(points, NET)[0]]
+    coarse = net[:-(-wanted.count() // GROUP)]
+    net = net[:-(-single.count() // BLOCK)]
     refs = _trees(single.select("uid", "first", "v"), net, BLOCK)
-    groups = _trees(wanted.select("uid", "first", "v"), net, GROUP)
+    groups = _trees(wanted.select("uid", "first", "v"), coarse, GROUP)
     blocks = refs.select(*[F.col(c).alias(f"r_{c}") for c in refs.columns])
 
     # reach of a cell: the farthest any of its vectors can lie from the net point (at most NET rows)
