@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -727,9 +728,10 @@ def model_table(spark, sf):
 
 
 def training_run(spark, sf):
-    key = (id(spark), sf)
+    key = ("classifiers", spark.sparkContext.applicationId, sf)
     if key not in _RUNS:
-        _RUNS[key] = (model_table(spark, sf), train.train_all_models(model_table(spark, sf), TARGET, "unique_id"))
+        table = model_table(spark, sf)
+        _RUNS[key] = (table, train.train_all_models(table, TARGET, "unique_id"))
     return _RUNS[key]
 
 
@@ -807,22 +809,26 @@ def model_table_unlabelled(spark, sf):
 
 
 def clustering_run(spark, sf):
-    key = ("clusters", id(spark), sf)
+    key = ("clusters", spark.sparkContext.applicationId, sf)
     if key not in _RUNS:
-        _RUNS[key] = clusterers.train_all_clusterers(clustering_inputs(spark, sf), CLUSTER_KS)
+        _RUNS[key] = clusterers.fit_clusterers(clustering_inputs(spark, sf), CLUSTER_KS)
     return _RUNS[key]
 
 
-# not registered this round: the iterative clusterers (mini-batch, diagonal EM) are too slow
-# in local mode for the driver's run; see README
+@register("clustering_features")
+def q_k5(spark, sf):
+    """K5 on the unlabelled loans, one long (row, position, value) table."""
+    return clustering_inputs(spark, sf).select(
+        "row_id", F.posexplode(vector_to_array("features")).alias("position", "value"))
+
+
+@register("cluster_metrics_fitted")
 def q_cm8(spark, sf):
     """CM2-CM8: four algorithms x k = 3..6 on the unlabelled loans, ranked."""
-    metrics, _ = clustering_run(spark, sf)
-    return cluster_eval.rank_clusterings(metrics)
+    return cluster_eval.rank_clusterings(clusterers.clusterer_metrics(clustering_run(spark, sf)))
 
 
+@register("cluster_labels_wide")
 def q_cm9(spark, sf):
-    """CM9: one label column per fitted model, joined on the row id."""
-    _, labels = clustering_run(spark, sf)
-    models = [f"{a}_k{k}" for a in clusterers.ALGORITHMS for k in CLUSTER_KS]
-    return clusterers.labels_wide(labels, models)
+    """CM9: one label column per fitted model, one row per loan."""
+    return clustering_run(spark, sf).labels_wide()
