@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import rules
-from ..functions.numeric import finite_or_null, is_numeric
+from ..functions.numeric import finite_or_null, is_numeric, numeric_columns  # noqa: F401
+from .profile import distinct_counts
 from .split import assign_folds
 
 LOW_CARDINALITY_LIMIT = 10
@@ -81,8 +82,8 @@ def feature_groups(df: DataFrame, exclude: list[str] | None = None,
     cats = [f.name for f in df.schema.fields if f.name not in exclude and f.name not in numeric]
     if not cats:
         return {"numeric": numeric, "low": [], "high": []}
-    nd = df.agg(*[F.count_distinct(F.col(_name(c))).alias(f"d_{i}") for i, c in enumerate(cats)]).first()
-    low = [c for i, c in enumerate(cats) if c not in forced and nd[f"d_{i}"] < threshold]
+    nd = {r["column"]: r["unique_count"] for r in distinct_counts(df, cats).collect()}
+    low = [c for c in cats if c not in forced and nd.get(c, 0) < threshold]
     high = [c for c in cats if c not in low]
     return {"numeric": numeric, "low": low, "high": high}
 
@@ -296,9 +297,7 @@ class FrequencyEncoder:
     def fit(self, df: DataFrame) -> FrequencyModel:
         v = F.coalesce(F.col(_name(self.column)).cast("string"), F.lit(self.missing_label)).alias("value")
         g = df.select(v).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-        total = F.sum("n").over(Window.partitionBy())
-        # the window above runs over the distinct-value table, not the rows
-        table = g.select("value", (F.col("n") / total).alias("freq"))
+        table = g.select("value", (F.col("n") / F.lit(df.count())).alias("freq"))
         return FrequencyModel(self.column, table, self.missing_label, self.out_col or f"{self.column}_frequency")
 
 
@@ -333,5 +332,3 @@ def exclude_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """K3: drop the target (or any listed column) if present."""
     return df.drop(*[c for c in columns if c in df.columns])
 
-
-__all__ = ["T"]

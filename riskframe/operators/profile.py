@@ -65,19 +65,43 @@ def compare_columns(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- E2 - E8
+def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, n_rows, nn, unique_count): rows, non-null values and distinct non-null values per column.
+
+    Values are counted by (column, value) with map-side aggregation, then
+    added up per column, in one pass over the rows.
+    """
+    def text(c):
+        x = F.col(f"`{c}`")
+        # adding 0.0 makes -0.0 and 0.0 one value
+        return (x + F.lit(0.0) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else x).cast("string")
+
+    values = [F.struct(F.lit(i).alias("at"), text(c).alias("value")) for i, c in enumerate(cols)]
+    counts = df.select(F.explode(F.array(*values)).alias("v")).groupBy("v.at", "v.value").agg(F.count(F.lit(1)).alias("n"))
+    known = F.col("value").isNotNull()
+    per = counts.groupBy("at").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("nn"),
+                                   F.count("value").alias("unique_count"))
+    # an empty table has a row of zeros per column
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "at int, column string")
+    return names.join(per, "at", "left").select(
+        "column", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n_rows", "nn", "unique_count")])
+
+
 def dataframe_overview(df: DataFrame, approx: bool = False) -> DataFrame:
     """Dtype, missing count/rate, distinct non-null count/rate per column."""
     cols = df.columns
-    distinct = (lambda c: F.approx_count_distinct(c)) if approx else (lambda c: F.count_distinct(c))
-    row = df.agg(F.count(F.lit(1)).alias("n_rows"),
-                 *[F.count(F.col(f"`{c}`")).alias(f"nn_{i}") for i, c in enumerate(cols)],
-                 *[distinct(F.col(f"`{c}`")).alias(f"nd_{i}") for i, c in enumerate(cols)])
-    structs = [F.struct(F.lit(c).alias("column"),
-                        F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
-                        (F.col("n_rows") - F.col(f"nn_{i}")).alias("missing_count"),
-                        F.col(f"nd_{i}").alias("unique_count"))
-               for i, c in enumerate(cols)]
-    long = row.select("n_rows", F.explode(F.array(*structs)).alias("s")).select("n_rows", "s.*")
+    if approx:
+        row = df.agg(F.count(F.lit(1)).alias("n_rows"),
+                     *[F.count(F.col(f"`{c}`")).alias(f"nn_{i}") for i, c in enumerate(cols)],
+                     *[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"nd_{i}") for i, c in enumerate(cols)])
+        structs = [F.struct(F.lit(c).alias("column"), F.col(f"nn_{i}").alias("nn"), F.col(f"nd_{i}").alias("unique_count"))
+                   for i, c in enumerate(cols)]
+        per = row.select("n_rows", F.explode(F.array(*structs)).alias("s")).select("n_rows", "s.*")
+    else:
+        per = distinct_counts(df, cols)
+    dtypes = F.create_map(*[F.lit(v) for c in cols for v in (c, df.schema[c].dataType.simpleString())])
+    long = per.select("n_rows", "column", dtypes[F.col("column")].alias("dtype"),
+                      (F.col("n_rows") - F.col("nn")).alias("missing_count"), "unique_count")
     return long.select(
         "column", "dtype", "missing_count",
         round_to(F.try_divide(F.col("missing_count"), F.col("n_rows")), 4).alias("missing_rate"),
@@ -121,8 +145,12 @@ def missing_summary(df: DataFrame) -> DataFrame:
 
 def constant_columns(df: DataFrame, approx: bool = False) -> DataFrame:
     """E5: columns with at most one distinct non-null value."""
-    ov = dataframe_overview(df, approx=approx)
-    return ov.where(F.col("unique_count") <= 1).select("column")
+    row = df.agg(*[F.struct(F.min(F.col(f"`{c}`")).alias("lo"), F.max(F.col(f"`{c}`")).alias("hi")).alias(f"s_{i}")
+                   for i, c in enumerate(df.columns)])
+    # null unless the column has two different values
+    flags = [F.struct(F.lit(c).alias("column"), F.coalesce(F.col(f"s_{i}.lo") < F.col(f"s_{i}.hi"), F.lit(False)).alias("varies"))
+             for i, c in enumerate(df.columns)]
+    return row.select(F.explode(F.array(*flags)).alias("f")).where(~F.col("f.varies")).select("f.column")
 
 
 def target_summary(df: DataFrame, target: str) -> DataFrame:
@@ -195,21 +223,11 @@ def categorical_summary(df: DataFrame, top_n: int = 10) -> DataFrame:
 
 
 def _low_cardinality(df: DataFrame, cols: list[str], max_n: int) -> list[str]:
-    """Columns with at most ``max_n`` distinct non-null values.
-
-    A cheap HLL pass first discards clearly high-cardinality columns (their
-    estimate is far above the limit), then an exact distinct count decides.
-    """
+    """Columns with at most ``max_n`` distinct non-null values, by exact count."""
     if not cols:
         return []
-    est = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"a_{i}")
-                   for i, c in enumerate(cols)]).first()
-    maybe = [c for i, c in enumerate(cols) if est[f"a_{i}"] <= 2 * max_n + 10]
-    if not maybe:
-        return []
-    exact = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"d_{i}")
-                     for i, c in enumerate(maybe)]).first()
-    return [c for i, c in enumerate(maybe) if exact[f"d_{i}"] <= max_n]
+    few = {r["column"] for r in distinct_counts(df, cols).where(F.col("unique_count") <= max_n).collect()}
+    return [c for c in cols if c in few]
 
 
 def _rate_table(long: DataFrame, target: str, value_cols: list[str]) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MIN_BUCKETS, MAX_BUCKETS, ROWS_PER_BUCKET = 64, 1 << 20, 200_000
+#: hash buckets of a class; a bucket is the share of rows that one task ranks
+BUCKETS = 1 << 16
 
 
 def hash_key(id_col: str, seed: int) -> Column:
@@ -28,38 +29,45 @@ def _unit(key: Column) -> Column:
 
 
 def stratified_split(df: DataFrame, label: str, id_col: str, test_fraction: float = 0.2,
-                     seed: int = 2) -> DataFrame:
-    """Adds ``is_test``; per class exactly floor(frac * n + 0.5) test rows, chosen by hash."""
-    n = df.count()
-    buckets = int(min(MAX_BUCKETS, max(MIN_BUCKETS, n // ROWS_PER_BUCKET)))
-    keyed = df.withColumns({"_key": hash_key(id_col, seed)})
+                     seed: int = 2, buckets: int = BUCKETS) -> DataFrame:
+    """Adds ``is_test``; per class exactly floor(frac * n + 0.5) test rows, chosen by hash.
+
+    Ids are distinct.  Bucket counts place the quota; only rows of the one
+    bucket per class in which it ends are ranked, and every row is compared
+    with its class's last test key (one broadcast row per class).
+    """
+    keyed = df.withColumn("_key", hash_key(id_col, seed))
     keyed = keyed.withColumn("_bucket", F.floor(_unit(F.col("_key")) * buckets).cast("int"))
-    counts = keyed.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    w_cls = Window.partitionBy(label)
-    w_run = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = keyed.groupBy(F.col(label).alias("_class"), "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     # (classes x buckets) rows: the quota bookkeeping never touches raw rows
+    w_cls = Window.partitionBy("_class")
+    w_run = w_cls.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     quota = counts.select(
-        label, "_bucket", "_n",
-        F.coalesce(F.sum("_n").over(w_run), F.lit(0)).alias("_below"),
-        F.floor(F.sum("_n").over(w_cls) * F.lit(float(test_fraction)) + F.lit(0.5)).alias("_k"))
-    quota = quota.select(label, "_bucket", (F.col("_k") - F.col("_below")).alias("_left"), "_n")
-    marked = keyed.join(quota, [label, "_bucket"])
-    # ranks are needed only where the quota ends inside a bucket
-    w_in = Window.partitionBy(label, "_bucket").orderBy("_key", id_col)
-    boundary = (F.col("_left") > 0) & (F.col("_left") < F.col("_n"))
-    ranked = marked.withColumn("_r", F.when(boundary, F.row_number().over(w_in)))
-    is_test = F.when(F.col("_left") >= F.col("_n"), True).when(F.col("_left") <= 0, False) \
-        .otherwise(F.col("_r") <= F.col("_left"))
-    return ranked.withColumn("is_test", is_test).drop("_key", "_bucket", "_left", "_n", "_r")
+        "_class", "_bucket", "_n",
+        (F.floor(F.sum("_n").over(w_cls) * F.lit(float(test_fraction)) + F.lit(0.5))
+         - F.coalesce(F.sum("_n").over(w_run), F.lit(0))).alias("_left"))
+    whole = quota.groupBy("_class").agg(F.max(F.when(F.col("_left") >= F.col("_n"), F.col("_bucket"))).alias("_whole"))
+    ends = quota.where((F.col("_left") > 0) & (F.col("_left") < F.col("_n"))).select(
+        "_class", F.col("_bucket").alias("_end"), "_left")
+    own = F.col(label).eqNullSafe(F.col("_class"))
+    last = (keyed.select(label, "_key", "_bucket", F.col(id_col).alias("_id"))
+            .join(F.broadcast(ends), own & (F.col("_bucket") == F.col("_end")))
+            .withColumn("_r", F.row_number().over(Window.partitionBy("_class").orderBy("_key", "_id")))
+            .where(F.col("_r") <= F.col("_left"))
+            .groupBy(F.col("_class").alias("_c")).agg(F.max(F.struct("_key", "_id")).alias("_cut")))
+    cuts = whole.join(last, F.col("_class").eqNullSafe(F.col("_c")), "left").drop("_c")
+    is_test = (F.coalesce(F.col("_bucket") <= F.col("_whole"), F.lit(False))
+               | F.coalesce(F.struct("_key", F.col(id_col).alias("_id")) <= F.col("_cut"), F.lit(False)))
+    return (keyed.join(F.broadcast(cuts), own).withColumn("is_test", is_test)
+            .drop("_key", "_bucket", "_class", "_whole", "_cut"))
 
 
-def assign_folds(df: DataFrame, label: str, id_col: str, n_folds: int = 5, seed: int = 2) -> DataFrame:
+def assign_folds(df: DataFrame, label: str, id_col: str, n_folds: int = 5, seed: int = 2,
+                 buckets: int = BUCKETS) -> DataFrame:
     """Stratified fold number 0..n_folds-1: position in the class's hash order, modulo n_folds."""
     key = hash_key(id_col, seed + 1)
     w = Window.partitionBy(label, F.col("_b")).orderBy("_k", id_col)
     # bucket first so that no window spans a whole class, then offset by bucket counts
-    n = df.count()
-    buckets = int(min(MAX_BUCKETS, max(MIN_BUCKETS, n // ROWS_PER_BUCKET)))
     k = df.withColumn("_k", key).withColumn("_b", F.floor(_unit(F.col("_k")) * buckets).cast("int"))
     counts = k.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
     off = counts.select(label, "_b", F.coalesce(F.sum("_n").over(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import profile_sql as P
 from .sql import (
-    BASE, FEATURE_TYPES, LOAN_BOOK, RAW_LABELLED, RAW_TYPES, UNLABELLED_FEATURE_TYPES, feature_ctes,
+    BASE, FEATURE_NUMERIC, FEATURE_STRINGS, FEATURE_TYPES, LOAN_BOOK, RAW_LABELLED, RAW_TYPES, UNLABELLED_FEATURE_TYPES, feature_ctes,
     r, round_cols, sd, with_,
 )
 
@@ -340,35 +340,35 @@ SQL["ltv_outlier_imputer"] = round_cols(with_(SPLIT + ["""b AS (SELECT quantile_
   quantile_cont(loan_to_value, 0.99) AS hi, quantile_cont(loan_to_value, 0.5) AS med FROM tr)"""], """
 SELECT unique_id, is_test, CASE WHEN loan_to_value < lo OR loan_to_value > hi THEN med
   ELSE CAST(loan_to_value AS DOUBLE) END AS loan_to_value FROM spl, b"""), ["loan_to_value"])
-_SC = ["loan_to_value", "fico_score", "current_balance_amount", "number_of_inquiries"]
+_SC = [c for c, t in RAW_TYPES.items() if t != "string" and c not in ("unique_id", "target")]
 SQL["median_impute_robust_scale"] = round_cols(with_(SPLIT + ["b AS (SELECT " + ", ".join(
     f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS m_{i}, quantile_cont(CAST({c} AS DOUBLE), 0.25) AS a_{i}, "
     f"quantile_cont(CAST({c} AS DOUBLE), 0.75) AS z_{i}" for i, c in enumerate(_SC)) + " FROM tr)"],
     "SELECT unique_id, " + ", ".join(
         f"(coalesce(CAST({c} AS DOUBLE), m_{i}) - m_{i}) / (CASE WHEN z_{i} - a_{i} = 0 THEN 1.0 ELSE z_{i} - a_{i} END)"
         f" AS numeric__{c}" for i, c in enumerate(_SC)) + " FROM spl, b"), [f"numeric__{c}" for c in _SC])
-SQL["mode_impute_one_hot"] = round_cols(with_(SPLIT + ["""md AS (
-  SELECT employment_type AS m FROM tr WHERE employment_type IS NOT NULL GROUP BY employment_type
-  ORDER BY count(*) DESC, employment_type LIMIT 1)"""], """
-SELECT unique_id,
-  CASE WHEN coalesce(employment_type, (SELECT m FROM md)) = ' ' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "low_cardinality_categorical__employment_type_ ",
-  CASE WHEN coalesce(employment_type, (SELECT m FROM md)) = 'Missing' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS low_cardinality_categorical__employment_type_Missing,
-  CASE WHEN coalesce(employment_type, (SELECT m FROM md)) = 'Salaried' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS low_cardinality_categorical__employment_type_Salaried,
-  CASE WHEN coalesce(employment_type, (SELECT m FROM md)) = 'Self employed' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "low_cardinality_categorical__employment_type_Self employed"
-FROM spl"""), [])
+_CATS = [c for c, t in RAW_TYPES.items() if t == "string"]
+_LONG = " UNION ALL ".join(f"SELECT unique_id, is_test, '{c}' AS col, {c} AS v FROM spl" for c in _CATS)
+SQL["mode_impute_one_hot"] = with_(SPLIT + [f"lg AS ({_LONG})", """low AS (
+  SELECT col FROM lg WHERE NOT is_test AND col <> 'state' GROUP BY col HAVING count(DISTINCT v) < 10)""", """cat AS (
+  SELECT col, v AS c, row_number() OVER (PARTITION BY col ORDER BY count(*) DESC, v) AS place
+  FROM lg WHERE NOT is_test AND v IS NOT NULL AND col IN (SELECT col FROM low) GROUP BY col, v)"""], """
+SELECT unique_id, 'low_cardinality_categorical__' || lg.col || '_' || cat.c AS feature,
+  CASE WHEN coalesce(lg.v, m.c) = cat.c THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value
+FROM lg JOIN cat ON lg.col = cat.col JOIN cat AS m ON m.col = lg.col AND m.place = 1""")
 SQL["frequency_encode"] = round_cols(with_(SPLIT + ["""fq AS (
   SELECT coalesce(state, 'Unknown') AS value, count(*) / sum(count(*)) OVER () AS freq FROM tr GROUP BY 1)"""], """
 SELECT unique_id, state, coalesce(freq, 0.0) AS state_frequency FROM spl LEFT JOIN fq ON coalesce(state, 'Unknown') = fq.value"""),
     ["state_frequency"])
-SQL["quantile_cap"] = round_cols(with_(SPLIT + ["""b AS (SELECT quantile_cont(disbursed_amount, 0.01) AS d0,
-  quantile_cont(disbursed_amount, 0.99) AS d1, quantile_cont(loan_to_value, 0.01) AS l0,
-  quantile_cont(loan_to_value, 0.99) AS l1 FROM tr)"""], """
-SELECT unique_id, least(greatest(disbursed_amount, d0), d1) AS disbursed_amount,
-  CASE WHEN loan_to_value IS NULL THEN NULL ELSE least(greatest(loan_to_value, l0), l1) END AS loan_to_value
-FROM spl, b"""), ["disbursed_amount", "loan_to_value"])
-SQL["feature_groups"] = """
-SELECT * FROM (VALUES """ + ", ".join(
-    f"('{c}', 'numeric')" for c, t in FEATURE_TYPES.items() if t != "string" and c != "target") + """,
-  ('employment_type', 'low_cardinality_categorical'), ('fico_rating', 'low_cardinality_categorical'),
-  ('credit_history_age_band', 'low_cardinality_categorical'), ('inquiry_intensity_band', 'low_cardinality_categorical'),
-  ('state', 'high_cardinality_categorical')) AS t("column", feature_group)"""
+SQL["quantile_cap"] = round_cols(with_(SPLIT + ["b AS (SELECT " + ", ".join(
+    f"quantile_cont(CAST({c} AS DOUBLE), 0.01) AS lo_{i}, quantile_cont(CAST({c} AS DOUBLE), 0.99) AS hi_{i}"
+    for i, c in enumerate(_SC)) + " FROM tr)"],
+    "SELECT unique_id, " + ", ".join(
+        f"CASE WHEN {c} IS NULL THEN NULL ELSE least(greatest(CAST({c} AS DOUBLE), lo_{i}), hi_{i}) END AS {c}"
+        for i, c in enumerate(_SC)) + " FROM spl, b"), _SC)
+SQL["feature_groups"] = with_(BASE, """
+SELECT col AS "column", CASE WHEN col <> 'state' AND count(DISTINCT v) < 10 THEN 'low_cardinality_categorical'
+  ELSE 'high_cardinality_categorical' END AS feature_group FROM (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS col, {c} AS v FROM feats" for c in FEATURE_STRINGS) + """) AS t GROUP BY col
+UNION ALL SELECT * FROM (VALUES """ + ", ".join(
+    f"('{c}', 'numeric')" for c in FEATURE_NUMERIC if c != "target") + ") AS n(col, feature_group)")

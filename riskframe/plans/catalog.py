@@ -628,8 +628,7 @@ def q_n13(spark, sf):
 from ..operators import prep, split  # noqa: E402
 
 SPLIT_SEED = 2
-SCALE_COLUMNS = ["loan_to_value", "fico_score", "current_balance_amount", "number_of_inquiries"]
-CAP_COLUMNS = ["disbursed_amount", "loan_to_value"]
+NOT_FEATURES = ["unique_id", "target", "is_test"]
 
 
 def split_loans(spark, sf):
@@ -666,19 +665,22 @@ def q_m1(spark, sf):
 
 @register("median_impute_robust_scale")
 def q_m4(spark, sf):
-    """M4 fitted on the training rows."""
+    """M4 on the numeric group, fitted on the training rows."""
     s = split_loans(spark, sf)
-    m = prep.MedianImputeRobustScale(SCALE_COLUMNS).fit(s.where(~F.col("is_test")))
-    return m.transform(s).select("unique_id", *[f"numeric__{c}" for c in SCALE_COLUMNS])
+    cols = prep.numeric_columns(s, NOT_FEATURES)
+    m = prep.MedianImputeRobustScale(cols).fit(s.where(~F.col("is_test")))
+    return m.transform(s).select("unique_id", *[f"numeric__{c}" for c in cols])
 
 
 @register("mode_impute_one_hot")
 def q_m5(spark, sf):
-    """M5 on employment_type, fitted on the training rows."""
+    """M5 on the low-cardinality group, fitted on the training rows, as (id, feature, value)."""
     s = split_loans(spark, sf)
-    m = prep.ModeImputeOneHot(["employment_type"]).fit(s.where(~F.col("is_test")))
+    tr = s.where(~F.col("is_test"))
+    m = prep.ModeImputeOneHot(prep.feature_groups(tr, exclude=NOT_FEATURES)["low"]).fit(tr)
     out = m.transform(s)
-    return out.select("unique_id", *[c for c in out.columns if c.startswith("low_cardinality_categorical__")])
+    names = [c for c in out.columns if c.startswith(m.prefix)]
+    return out.unpivot(["unique_id"], [f"`{c}`" for c in names], "feature", "value")
 
 
 @register("target_encode")
@@ -703,17 +705,17 @@ def q_k1(spark, sf):
 
 @register("quantile_cap")
 def q_k2(spark, sf):
-    """K2: clip to the training 1 % / 99 % quantiles."""
+    """K2 on the numeric group: clip to the training 1 % / 99 % quantiles."""
     s = split_loans(spark, sf)
-    m = prep.QuantileCapper(CAP_COLUMNS).fit(s.where(~F.col("is_test")))
-    return m.transform(s).select("unique_id", *CAP_COLUMNS)
+    cols = prep.numeric_columns(s, NOT_FEATURES)
+    m = prep.QuantileCapper(cols).fit(s.where(~F.col("is_test")))
+    return m.transform(s).select("unique_id", *cols)
 
 
 # ------------------------------------------------------------------ T2-T8, I, CM (Spark ML; no SQL oracle)
 from ..operators import clusterers, train  # noqa: E402
 
 _RUNS: dict = {}
-PERMUTATION_MODELS = ["logistic_regression_baseline", "decision_tree_shallow"]
 CLUSTER_KS = range(3, 7)
 
 
@@ -779,18 +781,24 @@ def q_i4(spark, sf):
 
 @register("top_importance_per_model")
 def q_n6(spark, sf):
-    """N6 (top 7) / N15 / I7."""
+    """N6 (top 7) / I7."""
     return train.top_features(q_i4(spark, sf), "importance", 7)
 
 
+@register("top10_importance_per_model")
+def q_n15(spark, sf):
+    """The ten most important features of each model, ascending."""
+    return train.top_features(q_i4(spark, sf), "importance", 10).orderBy("model", F.desc("rank"))
+
+
 @register("permutation_importance")
 def q_i5(spark, sf):
-    """I5 + I6 for the logistic and tree models, 5 repeats."""
+    """I5 + I6 for every trained model, 5 repeats."""
     table, run = training_run(spark, sf)
     s = split.stratified_split(table, TARGET, "unique_id", 0.2, SPLIT_SEED)
     test = s.where(F.col("is_test")).drop("is_test")
     raw_cols = [c for c in test.columns if c not in ("unique_id", TARGET)]
-    return train.permutation_importance(run, test, raw_cols, TARGET, "unique_id", PERMUTATION_MODELS, 5)
+    return train.permutation_importance(run, test, raw_cols, TARGET, "unique_id", list(run.models), 5)
 
 
 def clustering_inputs(spark, sf):
