@@ -37,12 +37,16 @@ SYLLABLES = {
     "cyrillic": ["ба", "вел", "гор", "дан", "зор", "кал", "лин", "мар", "нес", "пол", "рас", "сен", "там", "вер", "фил", "хан"],
 }
 _TITLE = "|".join(t for titles in TITLES.values() for t in titles)
+# the name of a secret and the sign before its value, bare or as a quoted JSON key
+_SECRET = r"(?i:\b(?:password|passwd|secret|token|api[_-]?key)(?:\\?[\"'])?[ \t]*[=:][ \t]*)"
+# a value: all between its quotes, or from an optional opening quote to the next space, quote, comma or semicolon
+_VALUE = r"(?:\\\"[^\"\r\n]++\"|\"(?:[^\"\\\r\n]|\\.)++\"|'(?:[^'\\\r\n]|\\.)++'|(?:\\?[\"'])?[^\s\"',;]+)"
 #: type and pattern, in the order in which they are tried
 PATTERNS = [
     ("email", r"[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"),
-    ("secret", r"(?i:\b(?:password|passwd|secret|token|api[_-]?key)[ \t]*[=:][ \t]*[^\s\"',;]+)"),
+    ("secret", _SECRET + _VALUE),
     ("key", r"\bAKIA[0-9A-Z]{16}\b"),
-    ("hex", r"(?<![0-9A-Za-z])[0-9a-f]{40}(?![0-9A-Za-z])"),
+    ("hex", r"(?<![0-9A-Za-z])[0-9a-fA-F]{40}(?![0-9A-Za-z])"),
     ("phone", r"(?<![\w+])(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-][0-9]{4}(?![0-9])"
               r"|(?<![\w+\-.])(?:\+[0-9]{1,3}[ .\-])?[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![0-9\-])"),
     ("ssn", r"(?<![\w\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w\-])"),
@@ -54,12 +58,26 @@ ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 REDRAWS = 40
 
 
+def _quoted(mention: Column) -> tuple[Column, Column, Column]:
+    """A mention as name of a secret with opening quote, value, closing quote; other mentions are a value only."""
+    head = F.regexp_extract(mention, rf"^({_SECRET}(?:\\?[\"'])?)", 1)
+    rest = mention.substr(F.length(head) + 1, F.length(mention))
+    tail = F.when(head == "", F.lit("")).otherwise(F.regexp_extract(rest, r"(\\?[\"'])$", 1))
+    return head, rest.substr(F.lit(1), F.length(rest) - F.length(tail)), tail
+
+
 def _kind(mention: Column) -> Column:
+    """The type of a mention; a secret whose value is a key or a hex number has the type of its value."""
+    head, value, _ = _quoted(mention)
+    own = F.lit("secret")
+    for kind, pattern in PATTERNS:
+        if kind in ("key", "hex"):
+            own = F.when(value.rlike(f"^(?:{pattern})$"), F.lit(kind)).otherwise(own)
     out = F.lit(None).cast("string")
     for kind, pattern in reversed(PATTERNS):
         out = F.when(mention.rlike(f"^(?:{pattern})$"), F.lit(kind)).otherwise(out)
     # a pattern that looks at the text around a mention still holds for the mention alone
-    return F.coalesce(out, F.lit("secret"))
+    return F.when(head != "", own).otherwise(F.coalesce(out, F.lit("secret")))
 
 
 def _canonical(kind: Column, mention: Column) -> Column:
@@ -67,7 +85,7 @@ def _canonical(kind: Column, mention: Column) -> Column:
     name = F.regexp_replace(mention, rf"^(?:{_TITLE})\.? ", "")
     return (F.when(kind == "email", F.lower(mention)).when(kind == "phone", F.right(digits, F.lit(10)))
             .when(kind.isin("card", "ssn"), digits)
-            .when(kind == "secret", F.regexp_replace(mention, r"^[^=:]*[=:][ \t]*", ""))
+            .when(kind == "hex", F.lower(_quoted(mention)[1])).when(kind.isin("secret", "key"), _quoted(mention)[1])
             .when(kind == "name", F.concat_ws("|", _group(mention), name)).otherwise(mention))
 
 
@@ -160,6 +178,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
 def _in_form(kind: Column, mention: Column, surrogate: Column) -> Column:
     """The surrogate in the form of a mention."""
     n = F.length(mention)
+    head, value, tail = _quoted(mention)
 
     def digits_of(text: Column) -> Column:
         return F.regexp_replace(text, "[^0-9]", "")
@@ -171,7 +190,8 @@ def _in_form(kind: Column, mention: Column, surrogate: Column) -> Column:
         return F.when(c.rlike("[0-9]") & (at > 0), surrogate.substr(at, F.lit(1))).otherwise(c)
     numbers = F.array_join(F.transform(F.sequence(F.lit(1), n), one), "")
     return (F.when(kind.isin("phone", "card", "ssn"), F.when(skipped >= 0, numbers).otherwise(surrogate))
-            .when(kind == "secret", F.concat(F.regexp_extract(mention, r"^([^=:]*[=:][ \t]*)", 1), surrogate))
+            .when(kind == "hex", F.concat(head, F.when(value.rlike("[a-f]"), surrogate).otherwise(F.upper(surrogate)), tail))
+            .when(kind.isin("secret", "key"), F.concat(head, surrogate, tail))
             .when(kind == "name", F.concat(F.regexp_extract(mention, rf"^((?:{_TITLE})\.? )", 1), F.substring_index(surrogate, "|", -1)))
             .otherwise(surrogate))
 
