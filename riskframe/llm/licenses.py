@@ -3,14 +3,18 @@
 Words that only license texts use mark regions of a text; in each region the
 license is aligned: words that occur once in both are anchors, the longest
 increasing run of anchors is kept, equal words next to an anchor are added, and
-the gaps between anchors are aligned in the same way.  Coverage is the share
-of the license's words that are aligned.
+the gaps between anchors are aligned in the same way.  A region that holds
+several copies has few words that occur once; there, windows of about the
+license's length are aligned as well, one for each place that a word of the
+license gives for its start.  Coverage is the share of the license's words that
+are aligned.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -90,13 +94,13 @@ def _runs(a: list[str], b: list[str], lo: int, hi: int, to: int, end: int, out:
                 held.append(n)
             else:
                 tops[p], held[p] = j, n
-        chain, n = [], held[-1]
+        run, n = [], held[-1]
         while n >= 0:
-            chain.append(pairs[n])
+            run.append(pairs[n])
             n = before[n]
-        chain.reverse()
+        run.reverse()
         last_a, last_b = lo, to
-        for i, j in chain:
+        for i, j in run:
             out.append((i, j))
             stack.append((last_a, i, last_b, j))
             last_a, last_b = i + 1, j + 1
@@ -114,8 +118,26 @@ class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float):
         self.coverage = coverage
         self.templates = [(name, words, frozenset(words) - COMMON) for name, text in templates.items() if (words := words_of(text))]
+        # places of the marks in each license: of those that stand in it once, if there are any
+        self.offsets = []
+        for _, template, own in self.templates:
+            once = {w for w in own if template.count(w) == 1} or own
+            self.offsets.append([(w, t) for t, w in enumerate(template) if w in once])
         self.marks = frozenset().union(*(own for _, _, own in self.templates)) if self.templates else frozenset()
 
+    def _windows(self, words: list[str], template: list[str], starts: list[int]):
+        """Alignments (first word, pairs) of windows that may reach the coverage: as long as the license, then longer on both sides."""
+        own, size = Counter(template), len(template)
+        for start in starts:
+            for more in sorted({0, size // 4, size // 2}):
+                lo = max(0, start - more)
+                window = words[lo:max(0, start + size + more)]
+                if sum((Counter(window) & own).values()) >= self.coverage * size:
+                    pairs = align(window, template)
+                    yield lo, pairs
+                    if len(pairs) == size:
+                        return
+
     def scan(self, text: str) -> list[dict]:
         """The best alignment of each license that reaches the coverage, over the whole text."""
         words = words_of(text)
@@ -124,21 +146,35 @@ class Scanner:
             return []
         places = [i for i, w in enumerate(words) if w in here]
         found = []
-        for name, template, own in self.templates:
+        for (name, template, own), offsets in zip(self.templates, self.offsets):
             # a license of coverage c has at least the share c of its words, so few of its marks can be missing
             if len(own & here) < len(own) - (1 - self.coverage) * len(template):
                 continue
             mine = [i for i in places if words[i] in own]
+            count, tried = Counter(template), set()
             best, at = None, 0
             while at < len(mine):
                 end = at
                 while end + 1 < len(mine) and mine[end + 1] - mine[end] <= len(template) and mine[end + 1] - mine[at] <= 2 * len(template):
                     end += 1
                 lo = max(0, mine[at] - len(template))
-                pairs = align(words[lo:mine[end] + len(template)], template)
-                if len(pairs) >= self.coverage * len(template) and (best is None or len(pairs) > best["aligned"]):
-                    best = {"license": name, "coverage": len(pairs) / len(template), "aligned": len(pairs),
-                            "start": lo + pairs[0][0], "end": lo + pairs[-1][0] + 1}
+                region = words[lo:mine[end] + len(template)]
+                pairs = align(region, template)
+                aligned = [(lo, pairs)]
+                held = Counter(words[i] for i in mine[at:end + 1])
+                if len(pairs) < len(template) and any(n > count[w] for w, n in held.items()):
+                    where = defaultdict(list)
+                    for i in mine[at:end + 1]:
+                        where[words[i]].append(i)
+                    starts = {i - t for w, t in offsets for i in where.get(w, ())} - tried
+                    tried |= starts
+                    aligned = chain(aligned, self._windows(words, template, sorted(starts)))
+                for lo, pairs in aligned:
+                    if len(pairs) >= self.coverage * len(template) and (best is None or len(pairs) > best["aligned"]):
+                        best = {"license": name, "coverage": len(pairs) / len(template), "aligned": len(pairs),
+                                "start": lo + pairs[0][0], "end": lo + pairs[-1][0] + 1}
+                if best and best["aligned"] == len(template):
+                    break
                 # the next region starts behind the first mark, so one that straddles two regions is seen whole
                 at = end + 1 if end == len(mine) - 1 or mine[end + 1] - mine[end] > len(template) else at + max(1, (end - at) // 2)
             if best:

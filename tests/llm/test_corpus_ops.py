@@ -293,6 +293,19 @@ def test_patience_alignment():
     assert not scanner.scan("a license to use all of this, with no version") and not scanner.scan("")
 
 
+def test_repeated_licenses():
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.8)
+    around = " ".join(f"w{i}" for i in range(10))
+    for name, text in licenses.TEMPLATES.items():
+        for copies in (2, 3, 1000):
+            found = [f for f in scanner.scan(f"{around} {' '.join([text] * copies)} {around}") if f["license"] == name]
+            assert found and found[0]["coverage"] == 1 and found[0]["end"] - found[0]["start"] == len(words_of(text)), (name, copies)
+    mit = licenses.TEMPLATES["MIT"].replace("free of charge", "for free").replace("merge, ", "").replace("conditions", "terms that follow here")
+    for copies in (2, 3, 100):
+        found = [f for f in scanner.scan(f"{around} {' '.join([mit] * copies)} {around}") if f["license"] == "MIT"]
+        assert found and 0.9 < found[0]["coverage"] < 1, copies
+
+
 def test_odd_rows(spark, odd, docs, labels, items):
     n = odd.count()
     for out in (quality_report(odd, labels), toxicity_report(odd, labels), language_report(odd), mix_report(odd), shard_report(odd),
