@@ -14,7 +14,11 @@ whole in some passage.  Every passage is a query; all parts of score
 3. in the blocks left, scores are exact.
 
 A retrieved item counts when runs of five words or more that it shares with the
-passage cover at least ``overlap`` of its question and of its answer.
+passage cover at least ``overlap`` of its question and either as much of its
+answer or nearly the whole item.  A last sentence that is cut or changed in one
+word often shares no run, so an answer is also covered by the last quarter of
+the item (five words at least), and nearly the whole means that at most a fifth
+of the item, or five words, is left out.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ from riskframe.llm.common import words_of
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 PART, BLOCK, RUN, COLUMNS = 64, 4, 5, 64
 K1, B = 1.2, 0.75
+#: shares of an item: the least answer, and what a copy of nearly the whole may leave out
+QUARTER, LEFT_OUT = 0.25, 0.2
 #: items in one index; more items are searched in several passes
 MAX_ITEMS = 50_000
 FOUND = "array<struct<item_id:long,passage:long,score:double,question_overlap:double,answer_overlap:double>>"
@@ -121,8 +127,8 @@ class ItemIndex:
             found[n] = max(found.get(n, 0.0), float(score[p]))
         return sorted(found.items())
 
-    def overlaps(self, ids: np.ndarray, item: int) -> tuple[float, float]:
-        """Shares of the item's question and answer that lie in runs shared with the passage."""
+    def overlaps(self, ids: np.ndarray, item: int) -> tuple[float, float, bool]:
+        """Shares of the item's question and answer that lie in runs shared with the passage; whether nearly the whole item does."""
         own, q = self.item_ids[item], self.items[item][2]
         n = min(RUN, len(own))
         grams = {tuple(x) for x in np.lib.stride_tricks.sliding_window_view(ids, n).tolist()} if len(ids) >= n else set()
@@ -130,8 +136,10 @@ class ItemIndex:
         for k, gram in enumerate(np.lib.stride_tricks.sliding_window_view(own, n).tolist()):
             if tuple(gram) in grams:
                 hit[k:k + n] = True
-        answer = float(hit[q:].mean())
-        return (float(hit[:q].mean()) if q else answer), answer
+        least = min(len(own), max(RUN, math.ceil(len(own) * QUARTER)))
+        answer = float(max(hit[q:].mean(), hit[-least:].mean()))
+        whole = bool((~hit).sum() <= max(RUN, LEFT_OUT * len(own)) and hit.mean() >= self.overlap)
+        return (float(hit[:q].mean()) if q else answer), answer, whole
 
     def bounds(self, ids: np.ndarray) -> np.ndarray:
         """For each run of ``PART`` words, the most that its words give to any part of each column."""
@@ -159,9 +167,9 @@ class ItemIndex:
             from_word = int(at) * PART
             for item, score in self.retrieve(ids[from_word:from_word + 2 * PART]):
                 wide = len(self.item_ids[item])
-                question, answer = self.overlaps(ids[max(0, from_word - wide):from_word + 2 * PART + wide], item)
+                question, answer, whole = self.overlaps(ids[max(0, from_word - wide):from_word + 2 * PART + wide], item)
                 i = self.items[item][0]
-                if question >= self.overlap and answer >= self.overlap and (i not in best or score > best[i]["score"]):
+                if question >= self.overlap and (answer >= self.overlap or whole) and (i not in best or score > best[i]["score"]):
                     best[i] = {"item_id": i, "passage": from_word, "score": score,
                                "question_overlap": question, "answer_overlap": answer}
         return [best[i] for i in sorted(best)]

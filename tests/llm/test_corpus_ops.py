@@ -281,6 +281,25 @@ def test_leaks_match_brute_force(spark, docs, items):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(texts) - {d for d, _ in want}
 
 
+def test_leaks_with_short_last_sentences(spark):
+    items, texts = [], []
+    around = " ".join(f"z{i}" for i in range(200))
+    for size, last in itertools.product((15, 20, 40, 59, 130), range(1, 8)):
+        n = len(items)
+        own = [f"i{n}w{k}" for k in range(size)]
+        items.append((n, " ".join(own[:-last]) + ". " + " ".join(own[-last:]) + "."))
+        texts += [(n, own[:-1]), (n, own[:-2])]
+        texts += [(n, own[:-at] + ["changed"] + own[size - at + 1:]) for at in range(1, 8)]
+        # a third of the question alone is no leak
+        texts.append((-1, own[:size // 3]))
+    rows = [(d, f"{around} {' '.join(words)} {around}") for d, (_, words) in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leak_report(df, bench).collect()}
+    assert got == {(d, n) for d, (n, _) in enumerate(texts) if n >= 0}
+    assert {r["doc_id"] for r in without_leaks(df, bench).collect()} == {d for d, (n, _) in enumerate(texts) if n < 0}
+
+
 def test_patience_alignment():
     a, b = "x a b q c d y e f".split(), "a b c z d e f".split()
     assert [b[j] for _, j in licenses.align(a, b)] == ["a", "b", "c", "d", "e", "f"]
