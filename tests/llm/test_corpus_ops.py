@@ -263,6 +263,31 @@ def test_quoted_and_upper_case_secrets(spark):
     assert kinds[0] == kinds[1] == kinds[2] == ["hex"] and kinds[9] == ["key", "key"] and kinds[4] == ["secret"] and kinds[10] == []
 
 
+def test_names_phones_cards_addresses_and_accounts(spark):
+    texts = ["Frau Müller-Schmidt and Frau Müller", "Mr John Paul Smith, Mr Smith, Dr Smith's and Mr. John", "Mr O'Brien; Dr. Mary O'Brien", "Herr Ludwig van Beethoven und Herr Dr. Weber",
+             "call +49 30 1234567 or 0049 30 1234567", "+33 6 12 34 56 78", "amex 3782 822463 10005", "2001:db8::1 is 2001:0DB8:0:0:0:0:0:1; fe80::1 std::vector a::b 12:30:45",
+             "DE89 3704 0044 0532 0130 00 and DE89370400440532013000 EUR", "Mr J. R. Smith", "+1 988 555 2485, 988-555-2485"]
+    rows = pii.surrogate_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    out = [r["text"] for r in sorted(rows, key=lambda r: r["doc_id"])]
+    kinds = {r["doc_id"]: r["kinds"] for r in rows}
+    for word in "Müller Schmidt John Paul Smith Brien Mary Ludwig Beethoven Weber 1234567 822463 10005 db8 DB8 fe80 3704 0532 J. R.".split():
+        assert not [t for t in out if word in t], word
+    assert re.fullmatch(r"Frau (\w+)-\w+ and Frau \1", out[0])
+    john, smith = re.fullmatch(r"Mr (\w+) \w+ (\w+), Mr \2, Dr \2's and Mr\. \1", out[1]).groups()
+    assert john in pii.FIRST["latin", "m"] and john != smith
+    assert re.fullmatch(r"Mr (\w+); Dr\. \w+ \1", out[2]) and re.fullmatch(r"Herr \w+ van \w+ und Herr Dr\. \w+", out[3])
+    assert re.fullmatch(r"call \+49 (\d\d \d{7}) or 0049 \1", out[4]) and re.fullmatch(r"\+33 \d( \d\d){4}", out[5]) and out[5] != texts[5]
+    assert re.fullmatch(r"amex 3\d{3} \d{6} \d{5}", out[6]) and kinds[6] == ["card"]
+    assert re.fullmatch(r"((?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}) is \1; (?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4} std::vector a::b 12:30:45", out[7])
+    one, two = re.fullmatch(r"(DE\d\d(?: \d{4}){4} \d\d) and (DE\d{20}) EUR", out[8]).groups()
+    assert one.replace(" ", "") == two and int(two[4:] + "1314" + two[2:4]) % 97 == 1
+    assert re.fullmatch(rf"Mr [A-Z]\. [A-Z]\. {smith}", out[9])
+    assert re.sub(r"\D", "", out[10].split(",")[0]) == "1" + re.sub(r"\D", "", out[10].split(",")[1])
+    many = spark.range(3000).selectExpr("id as doc_id", "concat('Mrs N', translate(cast(id as string), '0123456789', 'abcdefghij'), ' Z', translate(cast(id as string), '0123456789', 'abcdefghij')) as text")
+    found = [r["text"].split() for r in pii.surrogate_report(many).collect()]
+    assert len({f[1] for f in found}) == len({f[2] for f in found}) == 3000 and all(re.fullmatch("[A-Za-z]+", w) for f in found for w in f)
+
+
 def test_leaks_match_brute_force(spark, docs, items):
     def covered(doc, own):
         n = min(5, len(own))
