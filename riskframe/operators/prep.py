@@ -3,9 +3,9 @@
 Each transformer is an Estimator/Model pair: ``fit`` learns small state on
 the training rows with one aggregation (quantiles, modes, category lists,
 per-category statistics) and ``transform`` is a projection or a join with
-that state.  Quantile state uses exact ``percentile`` by default, matching
-the reference's linear interpolation; ``approx=True`` switches to
-``percentile_approx`` for very high-cardinality columns.  Category tables
+that state.  Quantile state is exact by default (``operators/quantile.py``,
+the reference's linear interpolation); ``approx=True`` takes one sketch at
+its word.  Category tables
 for high-cardinality columns are joined without a broadcast hint, so Spark
 chooses broadcast or shuffle from their measured size.
 """
@@ -22,15 +22,12 @@ from pyspark.sql.window import Window
 from ..functions import rules
 from ..functions.numeric import finite_or_null, is_numeric, numeric_columns  # noqa: F401
 from .profile import distinct_counts
+from .quantile import quantile_values
 from .split import assign_folds
 
 LOW_CARDINALITY_LIMIT = 10
 
 
-def _q(x, p, approx):
-    return F.percentile_approx(x, p, 100_000) if approx else F.percentile(x, p)
-
-
 def _name(c: str) -> str:
     return f"`{c}`"
 
@@ -64,10 +61,10 @@ class LtvOutlierImputer:
         if self.column not in df.columns:
             return LtvOutlierModel(self.column, None, None, None)
         x = F.col(_name(self.column)).cast("double")
-        row = df.agg(_q(x, [self.lower_quantile, self.upper_quantile, 0.5], self.approx).alias("q")).first()
-        if row["q"] is None:
+        found = quantile_values(df, {"x": x}, [self.lower_quantile, self.upper_quantile, 0.5], self.approx)["x"]
+        if found is None:
             return LtvOutlierModel(self.column, None, None, None)
-        lo, hi, med = row["q"]
+        lo, hi, med = found
         return LtvOutlierModel(self.column, lo, hi, med)
 
 
@@ -138,27 +135,19 @@ class MedianImputeRobustScale:
     prefix: str = "numeric__"
 
     def fit(self, df: DataFrame) -> RobustScaleModel:
-        xs = [finite_or_null(F.col(_name(c)).cast("double")) for c in self.columns]
-        row = df.agg(*[_q(x, [0.5, 0.25, 0.75], self.approx).alias(f"q_{i}") for i, x in enumerate(xs)],
-                     *([_q(x, list(self.cap), self.approx).alias(f"c_{i}") for i, x in enumerate(xs)]
-                       if self.cap else [])).first()
+        xs = {c: finite_or_null(F.col(_name(c)).cast("double")) for c in self.columns}
+        found = quantile_values(df, xs, [0.5, 0.25, 0.75, *(self.cap or ())], self.approx)
         if not self.cap:
-            stats = {c: tuple(row[f"q_{i}"] or (0.0, 0.0, 0.0)) for i, c in enumerate(self.columns)}
-            return RobustScaleModel(stats, {}, self.prefix)
-        caps = {c: tuple(row[f"c_{i}"]) for i, c in enumerate(self.columns) if row[f"c_{i}"]}
+            return RobustScaleModel({c: tuple(q or (0.0, 0.0, 0.0)) for c, q in found.items()}, {}, self.prefix)
+        caps = {c: tuple(q[3:]) for c, q in found.items() if q}
         # impute, clip, then learn the scaling statistics on the clipped column
-        meds = {c: (row[f"q_{i}"] or [0.0])[0] for i, c in enumerate(self.columns)}
-        clipped = []
-        for i, c in enumerate(self.columns):
-            x = F.coalesce(xs[i], F.lit(meds[c]))
-            if c in caps:
-                x = F.least(F.greatest(x, F.lit(caps[c][0])), F.lit(caps[c][1]))
-            clipped.append(_q(x, [0.5, 0.25, 0.75], self.approx).alias(f"s_{i}"))
-        srow = df.agg(*clipped).first()
-        stats = {c: (meds[c], srow[f"s_{i}"][1], srow[f"s_{i}"][2]) for i, c in enumerate(self.columns)}
+        clipped = {}
+        for c, x in xs.items():
+            x = F.coalesce(x, F.lit((found[c] or [0.0])[0]))
+            clipped[c] = F.least(F.greatest(x, F.lit(caps[c][0])), F.lit(caps[c][1])) if c in caps else x
+        scaled = quantile_values(df, clipped, [0.5, 0.25, 0.75], self.approx)
         # the centre of the scaled value is the clipped median
-        stats = {c: (srow[f"s_{i}"][0], srow[f"s_{i}"][1], srow[f"s_{i}"][2]) for i, c in enumerate(self.columns)}
-        return RobustScaleModel({c: stats[c] for c in self.columns}, caps, self.prefix)
+        return RobustScaleModel({c: tuple(q or (0.0, 0.0, 0.0)) for c, q in scaled.items()}, caps, self.prefix)
 
 
 # ---------------------------------------------------------------- M5
@@ -323,9 +312,9 @@ class QuantileCapper:
     approx: bool = False
 
     def fit(self, df: DataFrame) -> QuantileCapModel:
-        row = df.agg(*[_q(finite_or_null(F.col(_name(c)).cast("double")), [self.lower, self.upper], self.approx)
-                       .alias(f"q_{i}") for i, c in enumerate(self.columns)]).first()
-        return QuantileCapModel({c: tuple(row[f"q_{i}"]) for i, c in enumerate(self.columns) if row[f"q_{i}"]})
+        found = quantile_values(df, {c: finite_or_null(F.col(_name(c)).cast("double")) for c in self.columns},
+                                [self.lower, self.upper], self.approx)
+        return QuantileCapModel({c: tuple(q) for c, q in found.items() if q})
 
 
 def exclude_columns(df: DataFrame, columns: list[str]) -> DataFrame:

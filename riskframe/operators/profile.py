@@ -6,9 +6,9 @@ profile is one wide ``agg`` (one scan, map-side partial aggregation) or an
 column / category) and are returned as DataFrames, never collected, except
 for fitted scalars (quantile edges, bounds) that parametrise a second pass.
 
-Exact quantiles use ``percentile`` (linear interpolation, the same as the
-reference); pass ``approx=True`` to switch to ``percentile_approx`` when a
-column has too many distinct values for an exact per-column value map.
+Exact quantiles come from ``operators/quantile.py`` (linear interpolation, the
+same as the reference, without a value map per column); ``approx=True``
+takes one ``percentile_approx`` sketch at its word.
 """
 
 from __future__ import annotations
@@ -23,14 +23,19 @@ from pyspark.sql.window import Window
 from ..functions.numeric import (
     categorical_columns, finite_or_null, numeric_columns, round_to,
 )
+from .quantile import exact_quantiles, quantile_values
 
-QUANTILE_ACCURACY = 100_000
 
+def _as_double(c: str) -> Column:
+    return F.col(f"`{c}`").cast("double")
 
-def _quantile(c: Column, p, approx: bool) -> Column:
-    if approx:
-        return F.percentile_approx(c, p, QUANTILE_ACCURACY)
-    return F.percentile(c, p)
+
+def _quantile_table(df: DataFrame, cols: list[str], probs: list[float], approx: bool) -> DataFrame:
+    """(column, q): one row per column, q an array in the order of ``probs``."""
+    if not approx:
+        return exact_quantiles(df, {c: _as_double(c) for c in cols}, probs).select("column", "q")
+    row = df.agg(*[F.percentile_approx(_as_double(c), probs, 100_000).alias(f"q_{i}") for i, c in enumerate(cols)])
+    return _long_from_wide(row, cols, ["q"])
 
 
 def _long_from_wide(row_df: DataFrame, names: list[str], prefixes: list[str],
@@ -175,9 +180,10 @@ def numeric_summary(df: DataFrame, approx: bool = False) -> DataFrame:
         x = F.col(f"`{c}`").cast("double")
         aggs += [F.count(x).alias(f"count_{i}"), F.avg(x).alias(f"mean_{i}"),
                  F.stddev_samp(x).alias(f"std_{i}"), F.min(x).alias(f"min_{i}"),
-                 _quantile(x, NUMERIC_SUMMARY_PS, approx).alias(f"q_{i}"),
                  F.max(x).alias(f"max_{i}")]
-    long = _long_from_wide(df.agg(*aggs), cols, ["count", "mean", "std", "min", "q", "max"])
+    long = _long_from_wide(df.agg(*aggs), cols, ["count", "mean", "std", "min", "max"])
+    # one row per column on both sides
+    long = long.join(F.broadcast(_quantile_table(df, cols, NUMERIC_SUMMARY_PS, approx)), "column")
     names = ["p1", "p5", "p25", "p50", "p75", "p95", "p99"]
     return long.select("column", "count", "mean", "std", "min",
                        *[F.col("q")[k].alias(n) for k, n in enumerate(names)], "max")
@@ -295,19 +301,14 @@ def quantile_edges(df: DataFrame, cols: list[str], n_bins: int, approx: bool = F
                    ) -> dict[str, list[float]]:
     """Distinct quantile edges at i/n per column (inf treated as missing)."""
     ps = [i / n_bins for i in range(n_bins + 1)]
-    row = df.agg(*[_quantile(finite_or_null(F.col(f"`{c}`").cast("double")), ps, approx).alias(f"q_{i}")
-                   for i, c in enumerate(cols)],
-                 *[F.min(finite_or_null(F.col(f"`{c}`").cast("double"))).alias(f"lo_{i}")
-                   for i, c in enumerate(cols)],
-                 *[F.max(finite_or_null(F.col(f"`{c}`").cast("double"))).alias(f"hi_{i}")
-                   for i, c in enumerate(cols)]).first()
+    found = quantile_values(df, {c: finite_or_null(_as_double(c)) for c in cols}, ps, approx)
     out = {}
-    for i, c in enumerate(cols):
-        # constant (<= 1 distinct value) iff min == max: no distinct-count expansion needed
-        if row[f"q_{i}"] is None or row[f"lo_{i}"] == row[f"hi_{i}"]:
+    for c in cols:
+        # the outermost quantiles are min and max: constant (<= 1 distinct value) iff they are equal
+        if found[c] is None or found[c][0] == found[c][-1]:
             continue  # empty or constant column: skipped
         e = []
-        for v in row[f"q_{i}"]:
+        for v in found[c]:
             if not e or v != e[-1]:
                 e.append(float(v))
         if len(e) >= 2:
@@ -352,8 +353,8 @@ def outlier_summary(df: DataFrame, lower: float = 0.05, upper: float = 0.95,
     if not cols:
         return _empty(df, schema)
     xs = [F.col(f"`{c}`").cast("double") for c in cols]
-    bounds = df.agg(*[_quantile(x, [lower, upper], approx).alias(f"q_{i}")
-                      for i, x in enumerate(xs)]).first()
+    found = quantile_values(df, dict(zip(cols, xs)), [lower, upper], approx)
+    bounds = {f"q_{i}": found[c] for i, c in enumerate(cols)}
     keep = [(i, c) for i, c in enumerate(cols) if bounds[f"q_{i}"] is not None]
     if not keep:
         return _empty(df, schema)
@@ -525,8 +526,8 @@ def boxplot_stats(df: DataFrame, columns: list[str], approx: bool = False) -> Da
     if not cols:
         return _empty(df, "column string")
     xs = {c: F.col(f"`{c}`").cast("double") for c in cols}
-    q = df.agg(*[_quantile(xs[c], [0.25, 0.5, 0.75], approx).alias(f"q_{i}")
-                 for i, c in enumerate(cols)]).first()
+    found = quantile_values(df, xs, [0.25, 0.5, 0.75], approx)
+    q = {f"q_{i}": found[c] for i, c in enumerate(cols)}
     keep = [(i, c) for i, c in enumerate(cols) if q[f"q_{i}"] is not None]
     aggs = []
     for i, c in keep:
@@ -592,9 +593,7 @@ def quantile_spread(df: DataFrame, top: int = 20, exclude: list[str] | None = No
                     approx: bool = False) -> DataFrame:
     """Quantiles 0/1/25/50/75/99/100 %, IQR, range and range/IQR, top by ratio."""
     cols = numeric_columns(df, exclude=exclude or [], include_bool=True)
-    row = df.agg(*[_quantile(F.col(f"`{c}`").cast("double"), SPREAD_PS, approx).alias(f"q_{i}")
-                   for i, c in enumerate(cols)])
-    long = _long_from_wide(row, cols, ["q"])
+    long = _quantile_table(df, cols, SPREAD_PS, approx)
     names = ["q000", "q001", "q025", "q050", "q075", "q099", "q100"]
     wide = long.select("column", *[F.col("q")[k].alias(n) for k, n in enumerate(names)])
     iqr = F.col("q075") - F.col("q025")

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.numeric import finite_or_null, numeric_columns, round_to
+from .quantile import quantile_values
 
 
 def attach_labels_checked(df: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
@@ -42,10 +43,8 @@ def usable_features(df: DataFrame, cols: list[str]) -> list[str]:
 def median_impute(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
     """Null (and +-inf) -> the column median learned on ``df``."""
     xs = [finite_or_null(F.col(f"`{c}`").cast("double")) for c in cols]
-    q = (lambda x: F.percentile_approx(x, 0.5, 100_000)) if approx else (lambda x: F.percentile(x, 0.5))
-    med = df.agg(*[q(x).alias(f"m_{i}") for i, x in enumerate(xs)]).first()
-    return df.withColumns({c: F.coalesce(xs[i], F.lit(med[f"m_{i}"]).cast("double"))
-                           for i, c in enumerate(cols)})
+    med = quantile_values(df, dict(zip(cols, xs)), [0.5], approx)
+    return df.withColumns({c: F.coalesce(x, F.lit(med[c] and med[c][0]).cast("double")) for c, x in zip(cols, xs)})
 
 
 def _cluster_moments(long: DataFrame, keys: list[str]) -> DataFrame:
