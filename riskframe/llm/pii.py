@@ -60,7 +60,8 @@ _COUNTRY = "(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{
 _HEXES = "[0-9A-Fa-f]{1,4}"
 #: type and pattern, in the order in which they are tried
 PATTERNS = [
-    ("email", r"[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"),
+    # tried at the start of a run of its letters only (or where the last match ended): within a run it can't do better
+    ("email", r"(?:(?<![A-Za-z0-9._%+\-])|\G)[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"),
     ("secret", _SECRET + _VALUE),
     ("key", r"\bAKIA[0-9A-Z]{16}\b"),
     ("hex", r"(?<![0-9A-Za-z])[0-9a-fA-F]{40}(?![0-9A-Za-z])"),
@@ -112,6 +113,20 @@ def _canonical(kind: Column, mention: Column) -> Column:
             .when(kind == "name", F.lit(None).cast("string")).otherwise(mention))
 
 
+def _remainder(text: Column) -> Column:
+    """A text of digits and capitals as a number (A is 10) modulo 97."""
+    def step(r: Column, c: Column) -> Column:
+        return F.when(c.rlike("[0-9]"), r * 10 + c.cast("int")).otherwise(r * 100 + F.ascii(c) - 55) % 97
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda r, c: F.when(c == "", r).otherwise(step(r, c)))
+
+
+def _holds(kind: Column, mention: Column) -> Column:
+    """Whether a number has the check digits of its type: cards and IBAN; other types have none."""
+    digits, code = F.regexp_replace(mention, "[^0-9]", ""), F.regexp_replace(mention, " ", "")
+    turned = F.concat(code.substr(F.lit(5), F.length(code)), F.substring(code, 1, 4))
+    return F.when(kind == "card", F.call_function("luhn_check", digits)).when(kind == "iban", _remainder(turned) == 1).otherwise(True)
+
+
 def _eight(address: Column) -> Column:
     """All eight numbers of an IPv6 address, without leading zeros."""
     def numbers(text: Column) -> Column:
@@ -224,10 +239,7 @@ def _surrogate(key: str) -> Column:
                  .when(group == script, F.concat_ws("|", group, F.lit("family"), family)).otherwise(names))
     # IBAN: country kept, check digits by the remainder of the rest, country and 00 modulo 97
     rest = _same_form(key, form.substr(F.lit(5), size))
-
-    def mod97(r: Column, c: Column) -> Column:
-        return F.when(c.rlike("[0-9]"), r * 10 + c.cast("int")).otherwise(r * 100 + F.ascii(c) - 55) % 97
-    left = F.aggregate(F.split(F.concat(rest, F.substring(form, 1, 2), F.lit("00")), ""), F.lit(0), lambda r, c: F.when(c == "", r).otherwise(mod97(r, c)))
+    left = _remainder(F.concat(rest, F.substring(form, 1, 2), F.lit("00")))
     iban = F.concat(F.substring(form, 1, 2), F.lpad((F.lit(98) - left).cast("string"), 2, "0"), rest)
     country = F.when(size != 10, F.regexp_extract(form, f"^({_COUNTRY})", 1)).otherwise(F.lit(""))
     phone = F.concat(country, _same_form(key, form.substr(F.length(country) + 1, size)))
@@ -295,30 +307,38 @@ def _in_form(kind: Column, mention: Column, surrogate: Column) -> Column:
 def with_surrogates(docs: DataFrame, key: str = "surrogate key") -> DataFrame:
     """(doc, text, kinds, mentions): every row as a struct, its text with surrogates, the kinds and the mentions found.
 
-    ``docs`` needs a text column.  Null and empty texts stay as they are.  An
+    Numbers in the form of a card or an IBAN whose check digits are wrong are
+    neither and stay.  ``docs`` needs a text column.  Null and empty texts stay as they are.  An
     empty table gives an empty result; equal texts get equal surrogates.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     text = F.col("doc.text")
-    has = F.coalesce(text.rlike(ANY), F.lit(False))
-    hits = cut(docs.where(F.col("text").rlike(ANY)).select(F.sha2("text", 256).alias("tkey"),
-                                                           F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("mentions")).distinct())
-    each = hits.select("tkey", F.posexplode("mentions").alias("place", "mention"))
+    found = F.coalesce(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), F.array().cast("array<string>"))
+    some = F.size("mentions") > 0
+    # the pattern runs once over every text, and once more over texts with mentions to cut them into pieces
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).withColumn("mentions", found)
+    rows = cut(rows.select("doc", "mentions", F.when(some, F.sha2(text, 256)).alias("tkey"), F.when(some, F.split(text, ANY, -1)).alias("pieces")))
+    each = (rows.where(some).groupBy("tkey").agg(F.first("mentions").alias("mentions"))
+            .select("tkey", F.posexplode("mentions").alias("place", "mention")))
+    each = cut(each)
     kinds = cut(each.select("mention").distinct().withColumn("kind", _kind(F.col("mention")))
+                .withColumn("kind", F.when(_holds(F.col("kind"), F.col("mention")), F.col("kind")))
                 .withColumn("canonical", _canonical(F.col("kind"), F.col("mention"))))
     parts = _name_parts(kinds.where("kind = 'name'"))
     entities = kinds.select("kind", "canonical").union(parts.select(F.lit("name").alias("kind"), "canonical")).where("canonical is not null")
     drawn = surrogates(entities, key)
     others = kinds.join(drawn, ["kind", "canonical"])
     forms = cut(others.select("mention", "kind", _in_form(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("form"))
-                .union(_name_forms(parts, drawn, key)))
+                .union(_name_forms(parts, drawn, key))
+                .union(kinds.where("kind is null").select("mention", "kind", F.col("mention").alias("form"))))
     made = (each.join(forms, "mention").groupBy("tkey")
             .agg(F.sort_array(F.collect_list(F.struct("place", "form", "kind", "mention"))).alias("all")))
-    without = rows.where(~has).select("doc", text.alias("text"), F.array().cast("array<string>").alias("kinds"), F.array().cast("array<string>").alias("mentions"))
-    pieces = F.split(text, ANY, -1)
-    whole = F.array_join(F.zip_with(pieces, F.col("all.form"), lambda p, f: F.concat(p, F.coalesce(f, F.lit("")))), "")
-    with_hits = (rows.where(has).withColumn("tkey", F.sha2(text, 256)).join(made, "tkey")
-                 .select("doc", whole.alias("text"), F.col("all.kind").alias("kinds"), F.col("all.mention").alias("mentions")))
+    empty = F.array().cast("array<string>")
+    without = rows.where(~some).select("doc", text.alias("text"), empty.alias("kinds"), empty.alias("mentions"))
+    whole = F.array_join(F.zip_with("pieces", F.col("all.form"), lambda p, f: F.concat(p, F.coalesce(f, F.lit("")))), "")
+    real = F.filter("all", lambda x: x["kind"].isNotNull())
+    with_hits = (rows.where(some).select("doc", "tkey", "pieces").join(made, "tkey")
+                 .select("doc", whole.alias("text"), F.transform(real, lambda x: x["kind"]).alias("kinds"),
+                         F.transform(real, lambda x: x["mention"]).alias("mentions")))
     return with_hits.union(without)
 
 

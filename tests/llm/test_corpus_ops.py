@@ -288,6 +288,18 @@ def test_names_phones_cards_addresses_and_accounts(spark):
     assert len({f[1] for f in found}) == len({f[2] for f in found}) == 3000 and all(re.fullmatch("[A-Za-z]+", w) for f in found for w in f)
 
 
+def test_numbers_with_wrong_check_digits_stay(spark):
+    texts = ["order 4041894974608796, card 4041894974608795", "ref DE88 3704 0044 0532 0130 00", "4041-8949-7460-8796 a@b.de",
+             "(988) 555-2485x.y@b.de"]
+    rows = pii.surrogate_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    out = {r["doc_id"]: r for r in rows}
+    assert re.fullmatch(r"order 4041894974608796, card \d{16}", out[0]["text"]) and out[0]["text"] != texts[0] and out[0]["kinds"] == ["card"]
+    assert out[1]["text"] == texts[1] and out[1]["kinds"] == [] and out[1]["entities"] == 0
+    assert out[2]["text"].startswith("4041-8949-7460-8796 ") and out[2]["kinds"] == ["email"]
+    # an address right behind another match is found too
+    assert out[3]["kinds"] == ["phone", "email"] and "x.y@b" not in out[3]["text"]
+
+
 def test_leaks_match_brute_force(spark, docs, items):
     def covered(doc, own):
         n = min(5, len(own))
