@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 from ..functions import rules
 from ..functions.numeric import finite_or_null, is_numeric, numeric_columns  # noqa: F401
+from ..session import ensure_checkpoint_dir
 from .profile import distinct_counts
 from .quantile import quantile_values
 from .split import assign_folds
@@ -210,8 +211,8 @@ def _encode(n, s, ss, mean_all, var_all):
     """lambda * category mean + (1 - lambda) * prior, lambda = V n / (V n + v_c)."""
     mean_c = s / n
     var_c = ss / n - mean_c * mean_c
-    lam = F.try_divide(F.lit(var_all) * n, F.lit(var_all) * n + F.greatest(var_c, F.lit(0.0)))
-    return F.coalesce(lam, F.lit(0.0)) * mean_c + (F.lit(1.0) - F.coalesce(lam, F.lit(0.0))) * F.lit(mean_all)
+    lam = F.try_divide(var_all * n, var_all * n + F.greatest(var_c, F.lit(0.0)))
+    return F.coalesce(lam, F.lit(0.0)) * mean_c + (F.lit(1.0) - F.coalesce(lam, F.lit(0.0))) * mean_all
 
 
 @dataclass
@@ -229,34 +230,29 @@ class TargetEncoder:
         mode = df.agg(F.mode(F.col(_name(self.column)).cast("string"), True)).first()[0]
         y = F.col(self.target).cast("double")
         v = F.coalesce(F.col(_name(self.column)).cast("string"), F.lit(mode)).alias("value")
-        tot = df.agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("ss")).first()
-        mean_all = tot["s"] / tot["n"]
-        var_all = tot["ss"] / tot["n"] - mean_all * mean_all
-        cat = df.select(v, y.alias("y")).groupBy("value").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("ss"))
-        table = cat.select("value", _encode(F.col("n"), F.col("s"), F.col("ss"), mean_all, var_all).alias("enc"))
-        folded = assign_folds(df, self.target, self.id_col, self.n_folds, self.seed)
-        per_fold = folded.select(v, "fold", y.alias("y")).groupBy("value", "fold").agg(
-            F.count(F.lit(1)).alias("fn"), F.sum("y").alias("fs"), F.sum(F.col("y") * F.col("y")).alias("fss"))
-        fold_tot = folded.groupBy("fold").agg(F.count(F.lit(1)).alias("tn"), F.sum(y).alias("ts"),
-                                              F.sum(y * y).alias("tss")).collect()
-        oof_parts = []
-        for r in fold_tot:
-            n_o = tot["n"] - r["tn"]
-            m_o = (tot["s"] - r["ts"]) / n_o
-            v_o = (tot["ss"] - r["tss"]) / n_o - m_o * m_o
-            comp = (cat.join(per_fold.where(F.col("fold") == r["fold"]).drop("fold"), "value", "left")
-                    .select("value", (F.col("n") - F.coalesce("fn", F.lit(0))).alias("n"),
-                            (F.col("s") - F.coalesce("fs", F.lit(0.0))).alias("s"),
-                            (F.col("ss") - F.coalesce("fss", F.lit(0.0))).alias("ss"))
-                    .withColumn("n", F.nullif(F.col("n"), F.lit(0))))
-            oof_parts.append(comp.select("value", F.lit(r["fold"]).alias("fold"),
-                                         # a category of this fold only: the mean of the other folds
-                                         F.coalesce(_encode(F.col("n"), F.col("s"), F.col("ss"), m_o, v_o),
-                                                    F.lit(m_o)).alias("enc")))
-        oof = oof_parts[0]
-        for p in oof_parts[1:]:
-            oof = oof.unionByName(p)
+        # counts by (value, fold), once; all else follows from this table
+        ensure_checkpoint_dir(df.sparkSession)
+        folded = assign_folds(df, self.target, self.id_col, self.n_folds, self.seed).select(v, "fold", y.alias("y"))
+        per = folded.groupBy("value", "fold").agg(
+            F.count(F.lit(1)).alias("fn"), F.sum("y").alias("fs"), F.sum(F.col("y") * F.col("y")).alias("fss")).checkpoint()
+        by_fold = per.groupBy("fold").agg(F.sum("fn").alias("n"), F.sum("fs").alias("s"), F.sum("fss").alias("ss")).collect()
+        n_all, s_all, ss_all = (sum(r[c] for r in by_fold) for c in ("n", "s", "ss"))
+        mean_all = s_all / n_all
+        var_all = ss_all / n_all - mean_all * mean_all
+        cat = per.groupBy("value").agg(F.sum("fn").alias("n"), F.sum("fs").alias("s"), F.sum("fss").alias("ss"))
+        table = cat.select("value", _encode(F.col("n"), F.col("s"), F.col("ss"), F.lit(mean_all), F.lit(var_all)).alias("enc"))
+        others = []  # fold, mean and variance of the other folds
+        for r in by_fold:
+            n_o = n_all - r["n"]
+            mean_o = (s_all - r["s"]) / n_o
+            others.append((r["fold"], mean_o, (ss_all - r["ss"]) / n_o - mean_o * mean_o))
+        every = F.explode(F.array(*[F.struct(F.lit(f).alias("fold"), F.lit(m).alias("mean_o"), F.lit(o).alias("var_o")) for f, m, o in others]))
+        rest = (cat.withColumn("_o", every).select("value", "n", "s", "ss", "_o.*").join(per, ["value", "fold"], "left")
+                .select("value", "fold", "mean_o", "var_o", F.nullif(F.col("n") - F.coalesce("fn", F.lit(0)), F.lit(0)).alias("n"),
+                        (F.col("s") - F.coalesce("fs", F.lit(0.0))).alias("s"), (F.col("ss") - F.coalesce("fss", F.lit(0.0))).alias("ss")))
+        # a category of this fold only: the mean of the other folds
+        oof = rest.select("value", "fold", F.coalesce(_encode(F.col("n"), F.col("s"), F.col("ss"), F.col("mean_o"), F.col("var_o")),
+                                                      F.col("mean_o")).alias("enc"))
         return TargetEncodeModel(self.column, self.target, mode, table, mean_all, oof,
                                  f"{self.prefix}{self.column}")
 

@@ -356,6 +356,42 @@ SQL["mode_impute_one_hot"] = with_(SPLIT + [f"lg AS ({_LONG})", """low AS (
 SELECT unique_id, 'low_cardinality_categorical__' || lg.col || '_' || cat.c AS feature,
   CASE WHEN coalesce(lg.v, m.c) = cat.c THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value
 FROM lg JOIN cat ON lg.col = cat.col JOIN cat AS m ON m.col = lg.col AND m.place = 1""")
+_TE = ["mo AS (SELECT coalesce(state, '') AS m FROM tr WHERE state IS NOT NULL GROUP BY state ORDER BY count(*) DESC, state LIMIT 1)",
+       """tf AS (SELECT unique_id, coalesce(state, m) AS value, CAST(target AS DOUBLE) AS y,
+  (row_number() OVER (PARTITION BY target ORDER BY md5(CAST(unique_id AS VARCHAR) || '|3'), unique_id) - 1) % 5 AS fold FROM tr, mo)""",
+       "al AS (SELECT count(*) AS tn, sum(y) AS ts, sum(y * y) AS tss FROM tf)",
+       "ct AS (SELECT value, count(*) AS n, sum(y) AS s, sum(y * y) AS ss FROM tf GROUP BY value)",
+       "fo AS (SELECT fold, count(*) AS fn, sum(y) AS fs, sum(y * y) AS fss FROM tf GROUP BY fold)",
+       """parts AS (
+  SELECT value, CAST(NULL AS BIGINT) AS fold, n, s, ss, tn AS an, ts AS a_s, tss AS ass FROM ct, al
+  UNION ALL SELECT ct.value, fo.fold, ct.n - coalesce(p.n, 0), ct.s - coalesce(p.s, 0), ct.ss - coalesce(p.ss, 0),
+    tn - fn, ts - fs, tss - fss
+  FROM ct CROSS JOIN fo CROSS JOIN al
+  LEFT JOIN (SELECT value, fold, count(*) AS n, sum(y) AS s, sum(y * y) AS ss FROM tf GROUP BY value, fold) AS p
+    ON p.value = ct.value AND p.fold = fo.fold)""",
+       """moments AS (SELECT value, fold, n, s / nullif(n, 0) AS mc, greatest(ss / nullif(n, 0) - (s / nullif(n, 0)) * (s / nullif(n, 0)), 0) AS vc,
+  a_s / an AS ma, ass / an - (a_s / an) * (a_s / an) AS va FROM parts)""",
+       """enc AS (SELECT value, fold, CASE WHEN n = 0 THEN ma ELSE
+  coalesce(va * n / nullif(va * n + vc, 0), 0) * mc + (1 - coalesce(va * n / nullif(va * n + vc, 0), 0)) * ma END AS e FROM moments)""",
+       """te AS (
+  SELECT tf.unique_id, enc.e FROM tf JOIN enc ON enc.value = tf.value AND enc.fold = tf.fold
+  UNION ALL SELECT spl.unique_id, coalesce(enc.e, ts / tn) FROM spl CROSS JOIN mo CROSS JOIN al
+    LEFT JOIN enc ON enc.value = coalesce(state, m) AND enc.fold IS NULL WHERE is_test)"""]
+SQL["target_encode"] = round_cols(with_(SPLIT + _TE, """
+SELECT spl.unique_id, is_test, e AS high_cardinality_categorical__state FROM spl JOIN te ON te.unique_id = spl.unique_id"""),
+    ["high_cardinality_categorical__state"])
+# M1, then M4 on its result, M5 and M6, as one long table
+_LTV = ["lb AS (SELECT quantile_cont(loan_to_value, 0.01) AS lo, quantile_cont(loan_to_value, 0.99) AS hi, quantile_cont(loan_to_value, 0.5) AS med FROM tr)",
+        """ps AS (SELECT spl.* REPLACE (CASE WHEN loan_to_value < lo OR loan_to_value > hi THEN med
+  ELSE CAST(loan_to_value AS DOUBLE) END AS loan_to_value) FROM spl, lb)"""]
+_NUM = " UNION ALL ".join(f"SELECT unique_id, is_test, '{c}' AS col, CAST({c} AS DOUBLE) AS x FROM ps" for c in _SC)
+SQL["prepared_features"] = round_cols(with_(SPLIT + _LTV + _TE + [f"nu AS ({_NUM})", """nq AS (
+  SELECT col, quantile_cont(x, 0.5) AS m, quantile_cont(x, 0.25) AS a, quantile_cont(x, 0.75) AS z FROM nu WHERE NOT is_test GROUP BY col)""",
+    f"oh AS ({SQL['mode_impute_one_hot']})"], """
+SELECT unique_id, 'numeric__' || col AS feature, (coalesce(x, m) - m) / (CASE WHEN z - a = 0 THEN 1.0 ELSE z - a END) AS value
+FROM nu JOIN nq USING (col)
+UNION ALL SELECT unique_id, feature, value FROM oh
+UNION ALL SELECT unique_id, 'high_cardinality_categorical__state', e FROM te"""), ["value"])
 SQL["frequency_encode"] = round_cols(with_(SPLIT + ["""fq AS (
   SELECT coalesce(state, 'Unknown') AS value, count(*) / sum(count(*)) OVER () AS freq FROM tr GROUP BY 1)"""], """
 SELECT unique_id, state, coalesce(freq, 0.0) AS state_frequency FROM spl LEFT JOIN fq ON coalesce(state, 'Unknown') = fq.value"""),

@@ -625,7 +625,7 @@ def q_n13(spark, sf):
 
 
 # ------------------------------------------------------------------ T1, T6, M, K (exact preparation)
-from ..operators import prep, split  # noqa: E402
+from ..operators import pipeline, prep, split  # noqa: E402
 
 SPLIT_SEED = 2
 NOT_FEATURES = ["unique_id", "target", "is_test"]
@@ -695,6 +695,17 @@ def q_m6(spark, sf):
     return tr_enc.select("unique_id", "is_test", col).unionByName(te_enc.select("unique_id", "is_test", col))
 
 
+@register("prepared_features")
+def q_m8(spark, sf):
+    """M7 + M8: all rows through the pipeline fitted on the training rows, as (id, feature, value); training rows out of fold."""
+    s = split_loans(spark, sf)
+    tr = s.where(~F.col("is_test"))
+    model = pipeline.preparation_pipeline(tr, "target", "unique_id").fit(tr)
+    folded = split.assign_folds(tr, "target", "unique_id", 5, SPLIT_SEED)
+    return pipeline.prepared_features(model, folded, "unique_id").unionByName(
+        pipeline.prepared_features(model, s.where(F.col("is_test")), "unique_id"))
+
+
 @register("frequency_encode")
 def q_k1(spark, sf):
     """K1 on state, fitted on the training rows."""
