@@ -16,6 +16,7 @@ the mentions and the surrogates in the form of each mention.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,9 +76,17 @@ PATTERNS = [
     ("name", rf"(?<![\w]){_TITLES}{_PART}(?: {_PART})*+"),
 ]
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
+#: what a text must hold for the pattern to find anything, one condition for each type: an address's sign or a digit
+#: (all numbers, IPv6 too), a secret's name, a key's start, a hex number of letters only, a title
+NEEDED = ["[0-9@]", r"(?i:password|passwd|secret|token|api[_-]?key)", "AKIA", "[A-Fa-f]{40}", rf"(?:{_TITLE})[. ]"]
 REDRAWS = 40
 
 
+def _may_hold(text: Column) -> Column:
+    """False only for texts in which the pattern finds nothing; cheap, as most texts need no more."""
+    return reduce(lambda a, b: a | b, [text.rlike(p) for p in NEEDED])
+
+
 def _quoted(mention: Column) -> tuple[Column, Column, Column]:
     """A mention as name of a secret with opening quote, value, closing quote; other mentions are a value only."""
     head = F.regexp_extract(mention, rf"^({_SECRET}(?:\\?[\"'])?)", 1)
@@ -311,14 +320,12 @@ def with_surrogates(docs: DataFrame, key: str = "surrogate key") -> DataFrame:
     neither and stay.  ``docs`` needs a text column.  Null and empty texts stay as they are.  An
     empty table gives an empty result; equal texts get equal surrogates.
     """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     text = F.col("doc.text")
-    found = F.coalesce(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), F.array().cast("array<string>"))
-    some = F.size("mentions") > 0
-    # the pattern runs once over every text, and once more over texts with mentions to cut them into pieces
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).withColumn("mentions", found)
-    rows = cut(rows.select("doc", "mentions", F.when(some, F.sha2(text, 256)).alias("tkey"), F.when(some, F.split(text, ANY, -1)).alias("pieces")))
-    each = (rows.where(some).groupBy("tkey").agg(F.first("mentions").alias("mentions"))
-            .select("tkey", F.posexplode("mentions").alias("place", "mention")))
+    has = F.coalesce(_may_hold(text) & text.rlike(ANY), F.lit(False))
+    hits = (docs.where(_may_hold(F.col("text"))).select(F.sha2("text", 256).alias("tkey"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("mentions"))
+            .where(F.size("mentions") > 0).distinct())
+    each = hits.select("tkey", F.posexplode("mentions").alias("place", "mention"))
     each = cut(each)
     kinds = cut(each.select("mention").distinct().withColumn("kind", _kind(F.col("mention")))
                 .withColumn("kind", F.when(_holds(F.col("kind"), F.col("mention")), F.col("kind")))
@@ -333,10 +340,10 @@ def with_surrogates(docs: DataFrame, key: str = "surrogate key") -> DataFrame:
     made = (each.join(forms, "mention").groupBy("tkey")
             .agg(F.sort_array(F.collect_list(F.struct("place", "form", "kind", "mention"))).alias("all")))
     empty = F.array().cast("array<string>")
-    without = rows.where(~some).select("doc", text.alias("text"), empty.alias("kinds"), empty.alias("mentions"))
-    whole = F.array_join(F.zip_with("pieces", F.col("all.form"), lambda p, f: F.concat(p, F.coalesce(f, F.lit("")))), "")
+    without = rows.where(~has).select("doc", text.alias("text"), empty.alias("kinds"), empty.alias("mentions"))
+    whole = F.array_join(F.zip_with(F.split(text, ANY, -1), F.col("all.form"), lambda p, f: F.concat(p, F.coalesce(f, F.lit("")))), "")
     real = F.filter("all", lambda x: x["kind"].isNotNull())
-    with_hits = (rows.where(some).select("doc", "tkey", "pieces").join(made, "tkey")
+    with_hits = (rows.where(has).withColumn("tkey", F.sha2(text, 256)).join(made, "tkey")
                  .select("doc", whole.alias("text"), F.transform(real, lambda x: x["kind"]).alias("kinds"),
                          F.transform(real, lambda x: x["mention"]).alias("mentions")))
     return with_hits.union(without)
