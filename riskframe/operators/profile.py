@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -378,84 +380,87 @@ def outlier_summary(df: DataFrame, lower: float = 0.05, upper: float = 0.95,
 
 
 # ---------------------------------------------------------------- E14 - E16, E20
-def _usable_numeric(df: DataFrame, exclude: list[str]) -> list[str]:
-    cols = numeric_columns(df, exclude=exclude, include_bool=False)
-    if not cols:
-        return []
-    xs = [finite_or_null(F.col(f"`{c}`").cast("double")) for c in cols]
-    row = df.agg(*[F.min(x).alias(f"lo_{i}") for i, x in enumerate(xs)],
-                 *[F.max(x).alias(f"hi_{i}") for i, x in enumerate(xs)]).first()
-    # more than one distinct value iff min < max
-    return [c for i, c in enumerate(cols) if row[f"lo_{i}"] is not None and row[f"lo_{i}"] < row[f"hi_{i}"]]
-
-
 def _pair_table(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Pairwise-complete Pearson r for every listed pair, in two scans.
-
-    Scan 1 learns each column's mean, min and max (k small scalars).  Scan 2
-    runs one ``mapInPandas`` task per partition that turns the centred block
-    into co-moment matrices with a few numpy matrix products and emits one
-    row per requested pair; ``groupBy(i, j).sum`` then merges the partitions
-    (map-side partial aggregation, one small row per pair and partition).
-    This keeps the plan size independent of the number of pairs, where a
-    wide ``agg`` of covariance expressions grows quadratically.
+    """(feature_1, feature_2, r, spread_1, spread_2): pairwise-complete Pearson r of every listed pair, in one scan.
+
+    Each partition turns its rows into co-moment matrices by a few numpy
+    products, around the means of the batch, and returns one row per pair:
+    count, means and co-moments of the rows in which both sides are present.
+    These are merged around the pair's own mean (sum of the parts' co-moments and of
+    n (mean - all mean)^2), so large means do not cancel.  The plan does not
+    grow with the pairs.  ``spread_*`` is a side's variance over all its rows: 0 for
+    a constant column, null for one without values; r of such a pair is null.
     """
     cols = sorted({c for p in pairs for c in p}, key=lambda c: df.columns.index(c))
     idx = {c: i for i, c in enumerate(cols)}
-    xs = [finite_or_null(F.col(f"`{c}`").cast("double")) for c in cols]
-    stats = df.agg(*[F.avg(x).alias(f"m_{i}") for i, x in enumerate(xs)],
-                   *[F.min(x).alias(f"lo_{i}") for i, x in enumerate(xs)],
-                   *[F.max(x).alias(f"hi_{i}") for i, x in enumerate(xs)]).first()
-    means = [float(stats[f"m_{i}"]) if stats[f"m_{i}"] is not None else 0.0 for i in range(len(cols))]
-    constant = {c for i, c in enumerate(cols)
-                if stats[f"lo_{i}"] is None or stats[f"lo_{i}"] == stats[f"hi_{i}"]}
-    centred = df.select(*[(x - F.lit(means[i])).alias(f"c{i}") for i, x in enumerate(xs)])
-    pi = [idx[a] for a, _ in pairs]
-    pj = [idx[b] for _, b in pairs]
+    values = df.select(*[finite_or_null(F.col(f"`{c}`").cast("double")).alias(f"c{i}") for i, c in enumerate(cols)])
+    # a column with itself gives its spread
+    wanted = sorted({(idx[a], idx[b]) for a, b in pairs} | {(i, i) for i in range(len(cols))})
+    pi, pj = [i for i, _ in wanted], [j for _, j in wanted]
+
+    def batch_moments(x: np.ndarray) -> np.ndarray:
+        """Per pair of columns, over rows that have both: n, a value near the mean and the mean's offset from it (of i, of j), co-moments ii, jj, ij."""
+        m = (~np.isnan(x)).astype("float64")
+        have = m.sum(axis=0)
+        # a constant column differs from its first value by exactly 0
+        near = x[m.argmax(axis=0), np.arange(x.shape[1])] if len(x) else np.zeros(x.shape[1])
+        near = np.where(have > 0, near, 0.0)
+        d = np.where(m > 0, x - near, 0.0)
+        shift = d.sum(axis=0) / np.maximum(have, 1)
+        d = np.where(m > 0, d - shift, 0.0)
+        n, s = m.T @ m, d.T @ m
+        safe, at = np.maximum(n, 1), np.broadcast_to(near[:, None], n.shape)
+        off = shift[:, None] + s / safe
+        return np.stack([n, at, off, at.T, (shift[:, None] + s / safe).T, (d * d).T @ m - s * s / safe, m.T @ (d * d) - s.T * s.T / safe,
+                         d.T @ d - s * s.T / safe])
+
+    def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        n, only = a[0] + b[0], a[0] == 0
+        share = b[0] / np.maximum(n, 1)
+        # offsets of b from a's values: means of any size differ without rounding
+        dx, dy = (b[1] - a[1]) + b[2] - a[2], (b[3] - a[3]) + b[4] - a[4]
+        both = np.where(only | (b[0] == 0), 0.0, a[0] * share)
+        return np.stack([n, np.where(only, b[1], a[1]), np.where(only, b[2], a[2] + dx * share), np.where(only, b[3], a[3]),
+                         np.where(only, b[4], a[4] + dy * share), a[5] + b[5] + dx * dx * both, a[6] + b[6] + dy * dy * both, a[7] + b[7] + dx * dy * both])
+
+    kept = ["n", "x", "ox", "y", "oy", "xx", "yy", "xy"]
 
     def comoments(batches):
-        import numpy as np
-        import pandas as pd
-        k = len(cols)
         acc = None
-        for pdf in batches:
-            x = pdf.to_numpy(dtype="float64", na_value=np.nan).reshape(-1, k)
-            m = (~np.isnan(x)).astype("float64")
-            x0 = np.where(m > 0, x, 0.0)
-            part = np.stack([m.T @ m, x0.T @ m, (x0 * x0).T @ m, x0.T @ x0])
-            acc = part if acc is None else acc + part
-        if acc is None:
-            return
-        n, sx, sxx, sxy = acc
-        yield pd.DataFrame({"i": pi, "j": pj, "n": n[pi, pj], "sx": sx[pi, pj], "sy": sx[pj, pi],
-                            "sxx": sxx[pi, pj], "syy": sxx[pj, pi], "sxy": sxy[pi, pj]})
-
-    schema = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
-    sums = centred.mapInPandas(comoments, schema).groupBy("i", "j").agg(
-        *[F.sum(c).alias(c) for c in ["n", "sx", "sy", "sxx", "syy", "sxy"]])
-    n = F.col("n")
-    cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
-    vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
-    vy = F.col("syy") - F.col("sy") * F.col("sy") / n
+        for frame in batches:
+            part = batch_moments(frame.to_numpy(dtype="float64", na_value=np.nan).reshape(-1, len(cols)))
+            acc = part if acc is None else merged(acc, part)
+        if acc is not None:
+            yield pd.DataFrame({"i": pi, "j": pj} | {name: acc[k][pi, pj] for k, name in enumerate(kept)})
+
+    parts = values.mapInPandas(comoments, "i int, j int, " + ", ".join(f"{c} double" for c in kept)).where("n > 0")
+    pair = Window.partitionBy("i", "j")
+    parts = parts.withColumns({c: F.col(c) - F.min(c).over(pair) + F.col(f"o{c}") for c in ("x", "y")})
+    dx, dy = [F.col(c) - F.sum(F.col("n") * F.col(c)).over(pair) / F.sum("n").over(pair) for c in ("x", "y")]
+    sums = (parts.withColumns({"dx": dx, "dy": dy}).groupBy("i", "j")
+            .agg(F.sum("n").alias("n"), *[F.sum(F.col(c) + F.col("n") * F.col(f"d{c[0]}") * F.col(f"d{c[1]}")).alias(c) for c in ("xx", "yy", "xy")]))
+    # at most columns^2 rows from here on
+    spread = F.map_from_entries(F.collect_list(F.when(F.col("i") == F.col("j"), F.struct("i", (F.col("xx") / F.col("n")).alias("v")))).over(Window.partitionBy()))
+    sums = sums.withColumn("_s", spread).withColumns({"spread_1": F.col("_s")[F.col("i")], "spread_2": F.col("_s")[F.col("j")]})
+    # within the rows of a pair, less than 1e-9 of a column's own variance is rounding noise of a constant
+    n, tol = F.col("n"), F.lit(1e-9)
+    r = F.when((n > 1) & (F.col("xx") > tol * n * F.col("spread_1")) & (F.col("yy") > tol * n * F.col("spread_2")),
+               F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")))
     names = F.array(*[F.lit(c) for c in cols])
-    # a spread below ~1e-9 of the second moment is rounding noise of a constant
-    tol = F.lit(1e-9)
-    r = F.when((n > 1) & (vx > tol * F.col("sxx")) & (vy > tol * F.col("syy")),
-               cov / F.sqrt(vx * vy))
-    out = sums.select(names[F.col("i")].alias("feature_1"), names[F.col("j")].alias("feature_2"), r.alias("r"))
-    if constant:
-        const = F.array(*[F.lit(c) for c in sorted(constant)])
-        out = out.withColumn("r", F.when(F.array_contains(const, F.col("feature_1"))
-                                         | F.array_contains(const, F.col("feature_2")), F.lit(None))
-                             .otherwise(F.col("r")))
-    return out
+    asked = F.array(*[F.lit(i * len(cols) + j) for i, j in sorted({(idx[a], idx[b]) for a, b in pairs})])
+    found = sums.select("i", "j", r.alias("r"), "spread_1", "spread_2")
+    # pairs without a common row are listed with a null r
+    every = df.sparkSession.createDataFrame([(i, j) for i, j in wanted], "i int, j int")
+    found = F.broadcast(every).join(found, ["i", "j"], "left")
+    return (found.where(F.array_contains(asked, F.col("i") * len(cols) + F.col("j")))
+            .select(names[F.col("i")].alias("feature_1"), names[F.col("j")].alias("feature_2"), "r", "spread_1", "spread_2"))
 
 
 def correlation_matrix(df: DataFrame, exclude: list[str] | None = None) -> DataFrame:
     """Signed Pearson matrix over numeric columns, long form (both orders + diagonal)."""
     cols = numeric_columns(df, exclude=exclude or [], include_bool=False)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    upper = _pair_table(df, pairs)
+    upper = _pair_table(df, pairs).select("feature_1", "feature_2", "r")
     mirrored = upper.where(F.col("feature_1") != F.col("feature_2")).select(
         F.col("feature_2").alias("feature_1"), F.col("feature_1").alias("feature_2"), "r")
     return upper.unionByName(mirrored).select(
@@ -480,30 +485,30 @@ def target_correlation(df: DataFrame, target: str) -> DataFrame:
         raise ValueError(f"{target} not found")
     if not isinstance(df.schema[target].dataType, T.NumericType):
         raise TypeError(f"{target} must be numeric")
-    cols = _usable_numeric(df, [target])
+    cols = numeric_columns(df, exclude=[target], include_bool=False)
     if not cols:
         return _empty(df, "feature string, abs_target_correlation double")
-    t = _pair_table(df, [(c, target) for c in cols])
+    # usable columns vary
+    t = _pair_table(df, [(c, target) for c in cols]).where(F.col("spread_1") > 0)
     return (t.select(F.col("feature_1").alias("feature"),
                      round_to(F.abs("r"), 6).alias("abs_target_correlation"))
             .orderBy(F.desc_nulls_last("abs_target_correlation"), "feature"))
 
 
 def correlated_pairs_with_target(df: DataFrame, target: str, threshold: float = 0.8) -> DataFrame:
-    """E14 with each side's |corr to target|; suggest dropping the weaker one."""
-    pairs = correlated_pairs(df, target, threshold)
-    tc = target_correlation(df, target)
-    # tc has one row per numeric column: bounded by the schema width
-    t1 = F.broadcast(tc.select(F.col("feature").alias("feature_1"),
-                               F.col("abs_target_correlation").alias("feature_1_target_corr")))
-    t2 = F.broadcast(tc.select(F.col("feature").alias("feature_2"),
-                               F.col("abs_target_correlation").alias("feature_2_target_corr")))
-    out = pairs.join(t1, "feature_1", "left").join(t2, "feature_2", "left")
+    """E14 with each side's |corr to target|; suggest dropping the weaker one.  One scan gives both kinds of pairs."""
+    cols = numeric_columns(df, exclude=[target], include_bool=False)
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    t = _pair_table(df, pairs + [(c, target) for c in cols])
+    to_target = F.col("feature_2") == target
+    known = F.when(to_target & (F.col("spread_1") > 0), F.struct("feature_1", round_to(F.abs("r"), 6).alias("r")))
+    # columns^2 rows at most
+    t = t.withColumn("_t", F.map_from_entries(F.collect_list(known).over(Window.partitionBy())))
+    out = (t.where(~to_target & (F.abs("r") >= threshold))
+           .select("feature_1", "feature_2", round_to(F.abs("r"), 6).alias("correlation"),
+                   F.col("_t")[F.col("feature_1")].alias("feature_1_target_corr"), F.col("_t")[F.col("feature_2")].alias("feature_2_target_corr")))
     keep_first = F.col("feature_1_target_corr") >= F.col("feature_2_target_corr")
-    return out.select("feature_1", "feature_2", "correlation", "feature_1_target_corr",
-                      "feature_2_target_corr",
-                      F.when(keep_first, F.col("feature_2")).otherwise(F.col("feature_1"))
-                      .alias("suggested_feature_to_drop"))
+    return out.select("*", F.when(keep_first, F.col("feature_2")).otherwise(F.col("feature_1")).alias("suggested_feature_to_drop"))
 
 
 # ---------------------------------------------------------------- E17 - E19
@@ -551,13 +556,19 @@ def boxplot_stats(df: DataFrame, columns: list[str], approx: bool = False) -> Da
 
 
 # ---------------------------------------------------------------- N1, N3, N4
+#: copies of one row that one block lists
+COPY_BLOCK = 10_000
+
+
 def duplicated_rows(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Every row that repeats an earlier row on ``keys`` (all columns if None).
 
     "Earlier" is the smallest row in column order (Spark has no input order).
     Identical rows are first counted (partial aggregation), the first row per
     key is a ``min(struct)`` aggregate, and the surplus copies are re-emitted
-    with ``array_repeat``; no window has to hold a hot key's rows at once.
+    from their number: it is split into blocks of ``COPY_BLOCK``, the blocks
+    are dealt over tasks, and each lists its own copies.  So no task holds or
+    writes a hot row's copies at once.
     """
     cols = df.columns
     keys = keys or cols
@@ -570,9 +581,15 @@ def duplicated_rows(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
         same = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)])
         out = (g.join(first, same, "inner")
                 .withColumn("n_out", F.col("count") - F.when(row.eqNullSafe(F.col("_first")), 1).otherwise(0)))
-    return (out.where(F.col("n_out") > 0)
-               .select(F.explode(F.array_repeat(row, F.col("n_out").cast("int"))).alias("_r"))
-               .select("_r.*"))
+    n = F.col("n_out")
+    blocks = (out.where(n > 0).select(row.alias("_r"), n.alias("_n"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / COPY_BLOCK))).alias("_b")))
+    own = F.least(F.lit(COPY_BLOCK).cast("bigint"), F.col("_n") - F.col("_b") * COPY_BLOCK)
+    # single blocks stay where they are; more than one of a row are dealt out
+    # (a stated number of partitions is not put together again for being small before it is listed)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = blocks.where(F.col("_n") > COPY_BLOCK).repartition(tasks, F.xxhash64("_r"), F.col("_b"))
+    each = blocks.where(F.col("_n") <= COPY_BLOCK).unionByName(many)
+    return (each.select("_r", F.explode(F.sequence(F.lit(1).cast("bigint"), own)).alias("_k")).select("_r.*"))
 
 
 def missing_rate_table(df: DataFrame, n: int = 10) -> DataFrame:

@@ -7,6 +7,10 @@ statistic and the spread of cluster means for all features at once.  Hot
 clusters are harmless: the grouped aggregation combines map-side.
 """
 
+from math import lgamma, log, pi
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,58 +103,57 @@ def analyze_separation(df: DataFrame, label_col: str, exclude: list[str] | None
                        F.desc_nulls_last("max_abs_standardized_cluster_mean"), "feature")
 
 
-def _betacf(a, b, x):
-    """Continued fraction for the regularised incomplete beta (modified Lentz)."""
-    import numpy as np
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c = np.ones_like(x)
-    d = 1.0 - qab * x / qap
-    d = np.where(np.abs(d) < tiny, tiny, d)
-    d = 1.0 / d
-    h = d.copy()
-    for m in range(1, 300):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = np.where(np.abs(d) < tiny, tiny, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < tiny, tiny, c)
-        d = 1.0 / d
-        h = h * d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = np.where(np.abs(d) < tiny, tiny, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < tiny, tiny, c)
-        d = 1.0 / d
-        h = h * d * c
-    return h
+def _stirling_rest(z: np.ndarray) -> np.ndarray:
+    """log gamma(z) less Stirling's (z - 1/2) log z - z + log(2 pi) / 2: a series from 10 on, where the difference would cancel."""
+    small = np.minimum(z, 10.0)
+    exact = np.array([lgamma(v) for v in small]) - (small - 0.5) * np.log(small) + small - 0.5 * log(2 * pi)
+    big = 1.0 / np.maximum(z, 10.0)
+    series = big * (1 / 12 - big ** 2 * (1 / 360 - big ** 2 * (1 / 1260 - big ** 2 * (1 / 1680 - big ** 2 / 1188))))
+    return np.where(z < 10.0, exact, series)
 
 
-def f_survival(f, d1, d2):
-    """P(F > f) for the F(d1, d2) distribution, vectorised (numpy)."""
-    import numpy as np
-    from math import lgamma
-    f, d1, d2 = (np.asarray(v, dtype="float64") for v in (f, d1, d2))
-    x = d2 / (d2 + d1 * f)
+def _f_tail(f: np.ndarray, d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
+    """P(F > f) for f of 1 and more.
+
+    With a = d2/2, b = d1/2, x = a/(a + b f) and y = 1 - x, substituting
+    t = x exp(-s/a) in the incomplete beta integral gives
+    x^a y^b / (a y B(a, b)) times the integral over s > 0 of
+    exp(-s) (1 + (x/y) (1 - exp(-s/a)))^(b-1), which falls in s.  It is summed
+    by Gauss-Legendre on panels of doubling width; the factor before it is
+    written so that no two large terms cancel, whatever the degrees of freedom.
+    """
     a, b = d2 / 2.0, d1 / 2.0
-    lbeta = np.array([lgamma(p) + lgamma(q) - lgamma(p + q) for p, q in zip(a.ravel(), b.ravel())])
-    lbeta = lbeta.reshape(a.shape)
-    front = np.exp(a * np.log(np.maximum(x, 1e-300)) + b * np.log(np.maximum(1 - x, 1e-300)) - lbeta)
-    use_direct = x < (a + 1.0) / (a + b + 2.0)
-    direct = front * _betacf(a, b, x) / a
-    flipped = 1.0 - front * _betacf(b, a, 1.0 - x) / b
-    return np.where(use_direct, direct, flipped)
+    y = b * f / (a + b * f)
+    front = (b * np.log1p(a * (f - 1) / (a + b * f)) - a * np.log1p(b * (f - 1) / (a + b)) + 0.5 * (np.log(b) - np.log1p(b / a)) - 0.5 * log(2 * pi)
+             - _stirling_rest(a) - _stirling_rest(b) + _stirling_rest(a + b)) - np.log(a * y)
+    node, weight = np.polynomial.legendre.leggauss(32)
+    total, lo, hi = np.zeros_like(f), 0.0, 0.125
+    while lo < 1e13:
+        s = lo + (hi - lo) * (node + 1) / 2
+        grown = (a / (b * f))[:, None] * -np.expm1(-s[None, :] / a[:, None])
+        part = np.exp(front[:, None] - s[None, :] + (b - 1)[:, None] * np.log1p(grown)) @ weight * (hi - lo) / 2
+        total += part
+        if (part <= 1e-17 * total).all() and lo > 1:
+            break
+        lo, hi = hi, 2 * hi
+    return np.minimum(total, 1.0)
+
+
+def f_survival(f, d1, d2):
+    """P(F > f) for the F(d1, d2) distribution, vectorised (numpy), for degrees of freedom of any size."""
+    f, d1, d2 = np.broadcast_arrays(*(np.atleast_1d(np.asarray(v, dtype="float64")) for v in (f, d1, d2)))
+    out = np.where(f <= 0, 1.0, np.where(np.isinf(f), 0.0, np.nan))
+    above, below = (f >= 1) & np.isfinite(f), (f > 0) & (f < 1)
+    out[above] = _f_tail(f[above], d1[above], d2[above])
+    # F(d1, d2) lies below f where its inverse, F(d2, d1), lies above 1/f
+    out[below] = 1.0 - _f_tail(1 / f[below], d2[below], d1[below])
+    return out
 
 
 def with_anova_p_value(sep: DataFrame) -> DataFrame:
     """P5: p-value of the F statistic, a vectorised pandas UDF over the result rows."""
-    import pandas as pd
-
     @F.pandas_udf(T.DoubleType())
     def p_value(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-        import numpy as np
         out = np.full(len(f), np.nan)
         ok = f.notna() & (d1 > 0) & (d2 > 0)
         if ok.any():

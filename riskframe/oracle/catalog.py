@@ -107,6 +107,12 @@ FROM loan_book""", ["loan_to_value", "legit_ltv"])
 # ---------------------------------------------------------------- profiling
 F_TYPES = FEATURE_TYPES
 SQL["compare_columns"] = _tail(BASE, P.compare_columns("loans_labelled", RAW_LABELLED, "feats", list(F_TYPES)))
+SQL["compare_columns_unlabelled"] = _tail(UNLAB_BASE, P.compare_columns(
+    "loans_unlabelled", [c for c in RAW_TYPES if c != "target"], "ufeats", list(UNLABELLED_FEATURE_TYPES)))
+SQL["split_target_features"] = round_cols(with_(BASE, f'SELECT * EXCLUDE ("{TARGET}") FROM feats'),
+                                          [c for c in _doubles(FEATURE_TYPES) if c != TARGET])
+SQL["split_target_values"] = with_(BASE, f'SELECT "{TARGET}" FROM feats')
+SQL["exclude_columns"] = SQL["split_target_features"]
 SQL["dataframe_overview"] = _tail(BASE, P.overview("feats", F_TYPES))
 SQL["duplicate_summary"] = with_(LOAN_BOOK, P.duplicate_summary("loans_labelled", RAW_LABELLED, "unique_id"))
 SQL["missing_summary"] = _tail(BASE, P.missing_summary("feats", list(F_TYPES)))

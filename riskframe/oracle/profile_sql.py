@@ -246,11 +246,16 @@ def correlated_pairs_with_target(view: str, types: dict[str, str], target: str,
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     tpairs = [(c, target) for c in cols]
     allp = pairs + tpairs
-    return _pairs_sql(view, allp) + f""",
+    # one materialised pass: correlations, and which columns vary
+    agg = ", ".join([f"{_pearson(a, b)} AS r_{i}" for i, (a, b) in enumerate(allp)]
+                    + [f"min({_fin(c)}) < max({_fin(c)}) AS u_{i}" for i, c in enumerate(cols)])
+    rows = _union([f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, r_{i} AS r FROM pagg" for i, (a, b) in enumerate(allp)])
+    usable = _union([f"SELECT '{c}' AS feature FROM pagg WHERE u_{i}" for i, c in enumerate(cols)])
+    return f""", pagg AS MATERIALIZED (SELECT {agg} FROM {view}), pairs AS ({rows}), usable AS ({usable}),
 cp AS (SELECT feature_1, feature_2, {r('abs(r)')} AS correlation FROM pairs
        WHERE feature_2 <> '{target}' AND abs(r) >= {threshold}),
 tc AS (SELECT feature_1 AS feature, {r('abs(r)')} AS atc FROM pairs
-       WHERE feature_2 = '{target}' AND feature_1 IN ({_usable(view, types, target)}))
+       WHERE feature_2 = '{target}' AND feature_1 IN (SELECT feature FROM usable))
 SELECT cp.feature_1, cp.feature_2, cp.correlation, t1.atc AS feature_1_target_corr,
   t2.atc AS feature_2_target_corr,
   CASE WHEN t1.atc >= t2.atc THEN cp.feature_2 ELSE cp.feature_1 END AS suggested_feature_to_drop

@@ -140,6 +140,12 @@ def q_compare(spark, sf):
     return profile.compare_columns(fixtures.loans_labelled(spark, sf), labelled_features(spark, sf))
 
 
+@register("compare_columns_unlabelled")
+def q_compare_unlabelled(spark, sf):
+    """Raw unlabelled loans against their built feature table."""
+    return profile.compare_columns(fixtures.loans_unlabelled(spark, sf), unlabelled_features(spark, sf))
+
+
 @register("dataframe_overview")
 def q_overview(spark, sf):
     """E2."""
@@ -655,6 +661,24 @@ def q_m2(spark, sf):
     return prep.feature_group_table(labelled_features(spark, sf), exclude=[TARGET])
 
 
+@register("split_target_features")
+def q_m3_features(spark, sf):
+    """M3: the labelled features without the target."""
+    return prep.split_target(labelled_features(spark, sf), TARGET)[0]
+
+
+@register("split_target_values")
+def q_m3_target(spark, sf):
+    """M3: the target alone."""
+    return prep.split_target(labelled_features(spark, sf), TARGET)[1]
+
+
+@register("exclude_columns")
+def q_k3(spark, sf):
+    """K3: the target and an absent column dropped where present."""
+    return prep.exclude_columns(labelled_features(spark, sf), [TARGET, "absent"])
+
+
 @register("ltv_outlier_imputer")
 def q_m1(spark, sf):
     """M1 fitted on the training rows, applied to all rows."""
@@ -841,10 +865,25 @@ def q_k5(spark, sf):
         "row_id", F.posexplode(vector_to_array("features")).alias("position", "value"))
 
 
+def fitted_metrics(spark, sf):
+    key = ("cluster metrics", spark.sparkContext.applicationId, sf)
+    if key not in _RUNS:
+        # one row per model
+        _RUNS[key] = cluster_eval.rank_clusterings(clusterers.clusterer_metrics(clustering_run(spark, sf))).checkpoint()
+    return _RUNS[key]
+
+
 @register("cluster_metrics_fitted")
 def q_cm8(spark, sf):
     """CM2-CM8: four algorithms x k = 3..6 on the unlabelled loans, ranked."""
-    return cluster_eval.rank_clusterings(clusterers.clusterer_metrics(clustering_run(spark, sf)))
+    return fitted_metrics(spark, sf)
+
+
+@register("cluster_sizes_fitted_top3")
+def q_n13_fitted(spark, sf):
+    """Cluster sizes of the three best fitted models."""
+    best = [r["model"] for r in fitted_metrics(spark, sf).where("rank <= 3").orderBy("rank").collect()]
+    return segments.cluster_sizes_many(clustering_run(spark, sf).labels_wide(), best)
 
 
 @register("cluster_labels_wide")
