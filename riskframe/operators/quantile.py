@@ -8,7 +8,8 @@ bracket ends and the values inside brackets, both with map-side aggregation.
 The few cells that hold a wanted rank are cut into a histogram of equal steps,
 and only the values of one step are ranked by a window.  So a task never sorts
 more than a small part of a bracket, whatever the table's size, and the result
-is that of ``percentile`` (linear interpolation between two ranks).
+is that of ``percentile`` (linear interpolation between two ranks), which
+tables of up to ``WHOLE`` rows are given to, as two more scans cost them more.
 """
 
 from __future__ import annotations
@@ -20,10 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import ensure_checkpoint_dir
+
 #: accuracy of the sketch, and how many times its error a bracket reaches beyond its rank
 ACCURACY, MARGIN = 4_000, 4
 #: groups of no more values than this have one bracket, all their values
 SMALL = 16 * ACCURACY
+#: in tables of no more rows than this ``percentile`` has a small value map and needs one scan (the results are the same)
+WHOLE = 1_000_000
 #: steps of the histogram of a cell
 STEPS = 4_096
 
@@ -69,8 +74,13 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: Sequence[f
     if not names:
         raise ValueError("no columns to take quantiles of")
     xs = [c.cast("double") for c in columns.values()]
+    if df.count() <= WHOLE:
+        each = [F.struct(F.lit(name).alias("column"), F.count(x).alias("n"), F.percentile(x, probs).alias("q")) for name, x in zip(names, xs)]
+        return df.groupBy(*by).agg(F.array(*each).alias("_all")).select(*by, F.explode("_all").alias("_c")).select(*by, "_c.*")
     key = [*by, "_at"]
-    brackets = _brackets(df, xs, probs, by)
+    ensure_checkpoint_dir(df.sparkSession)
+    # written, as more than one step reads them: the table itself is scanned twice
+    brackets = _brackets(df, xs, probs, by).checkpoint()
     values = (df.select(*by, F.explode(F.array(*[F.struct(F.lit(i).alias("at"), x.alias("v")) for i, x in enumerate(xs)])).alias("_x"))
               .select(*by, F.col("_x.at").alias("_at"), F.col("_x.v").alias("_v")).where("_v IS NOT NULL"))
     v = F.col("_v")
@@ -79,7 +89,7 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: Sequence[f
     inside = reduce(lambda a, b: a | b, [(v >= F.col("_lo")[j]) & (v <= F.col("_hi")[j]) for j in every])
     counted = (_joined(values, brackets.drop("_n"), key)
                .select(*key, cell.alias("_cell"), F.when(inside, v).alias("_v"))
-               .groupBy(*key, "_cell", "_v").agg(F.count(F.lit(1)).alias("_c")))
+               .groupBy(*key, "_cell", "_v").agg(F.count(F.lit(1)).alias("_c")).checkpoint())
 
     # cells in order of value (two a probability and one more), and the wanted ranks in each
     before = Window.partitionBy(*key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)

@@ -28,9 +28,9 @@ def _want(df, by):
 
 
 @pytest.mark.parametrize("by", [[], ["g"]])
-@pytest.mark.parametrize("sizes", [(4000, 64_000, 4096), (50, 60, 8), (400, 500, 1)])
+@pytest.mark.parametrize("sizes", [(4000, 64_000, 4096, 10 ** 6), (50, 60, 8, 0), (400, 500, 1, 0)])
 def test_equals_percentile(table, monkeypatch, by, sizes):
-    for name, value in zip(("ACCURACY", "SMALL", "STEPS"), sizes):
+    for name, value in zip(("ACCURACY", "SMALL", "STEPS", "WHOLE"), sizes):
         monkeypatch.setattr(quantile, name, value)
     rows = quantile.exact_quantiles(table, {c: F.col(c) for c in COLS}, PS, by).collect()
     got = {(*[r[b] for b in by], r["column"]): (r["n"], r["q"]) for r in rows}
@@ -55,8 +55,10 @@ def test_brackets_keep_most_values_out_of_the_shuffle(spark, monkeypatch):
     """What is ranked is a small share of the table, and no plan node is a ``percentile``."""
     monkeypatch.setattr(quantile, "ACCURACY", 1000)
     monkeypatch.setattr(quantile, "SMALL", 1000)
+    monkeypatch.setattr(quantile, "WHOLE", 1000)
     df = spark.range(200_000).select((F.rand(5) * 1e6).alias("x"))
     found = quantile._brackets(df, [F.col("x")], [0.5], []).first()
     assert df.where(F.col("x").between(found["_lo"][0], found["_hi"][0])).count() < 0.02 * 200_000
-    plan = quantile.exact_quantiles(df, {"x": F.col("x")}, [0.5])._jdf.queryExecution().executedPlan().toString()
-    assert "percentile(" not in plan and "percentile_approx(" in plan
+    got = quantile.exact_quantiles(df, {"x": F.col("x")}, [0.5])
+    assert "percentile(" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.first()["q"] == [df.agg(F.percentile("x", 0.5)).first()[0]]
