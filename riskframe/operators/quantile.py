@@ -10,13 +10,19 @@ and only the values of one step are ranked by a window.  So a task never sorts
 more than a small part of a bracket, whatever the table's size, and the result
 is that of ``percentile`` (linear interpolation between two ranks), which
 tables of up to ``WHOLE`` rows are given to, as two more scans cost them more.
+
+Without groups the sketch is one of some ``PLACING`` rows, which only place the
+brackets, and the second scan, over every row, is numpy's.  A rank that lay
+outside its bracket would raise, never give another value.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,6 +35,8 @@ ACCURACY, MARGIN = 4_000, 4
 SMALL = 16 * ACCURACY
 #: in tables of no more rows than this ``percentile`` has a small value map and needs one scan (the results are the same)
 WHOLE = 1_000_000
+#: rows that place brackets where there are no groups; a bracket reaches ``SPREAD`` standard errors beyond its rank
+PLACING, SPREAD = 2_000_000, 8
 #: steps of the histogram of a cell
 STEPS = 4_096
 
@@ -62,6 +70,67 @@ def _brackets(df: DataFrame, xs: list[Column], probs: list[float], by: list[str]
                       F.array(*[end(p, -1) for p in probs]).alias("_lo"), F.array(*[end(p, 1) for p in probs]).alias("_hi"))
 
 
+def _placed(df: DataFrame, xs: list[Column], probs: list[float], rows: int) -> list[tuple[int, list[float], list[float]]]:
+    """(n, low ends, high ends) of each column: what ``_brackets`` finds, as numbers and from a sketch of some rows."""
+    row = df.agg(*[f(x).alias(f"{f.__name__}_{i}") for i, x in enumerate(xs) for f in (F.count, F.min, F.max)]).first()
+    part = min(1.0, PLACING / rows)
+
+    def room(n: int) -> float:
+        return MARGIN / ACCURACY + (SPREAD * 0.5 / (n * part) ** 0.5 if part < 1 else 0.0)
+    n = [row[f"count_{i}"] for i in range(len(xs))]
+    points = {i: sorted({min(max(p + s * room(n[i]), 0.0), 1.0) for p in probs for s in (-1, 1)}) for i in range(len(xs)) if n[i] > SMALL}
+    some = df.sample(part, seed=1) if part < 1 else df
+    sketch = some.agg(*[F.percentile_approx(xs[i], at, ACCURACY).alias(f"s_{i}") for i, at in points.items()]).first() if points else {}
+
+    def end(i: int, p: float, sign: int) -> float:
+        at = p + sign * room(n[i]) if i in points else 0.0
+        if not 0 < at < 1 or sketch[f"s_{i}"] is None:
+            return row[f"min_{i}"] if sign < 0 else row[f"max_{i}"]
+        return sketch[f"s_{i}"][points[i].index(at)]
+    return [(n[i], [end(i, p, -1) for p in probs], [end(i, p, 1) for p in probs]) if n[i] else (0, [], []) for i in range(len(xs))]
+
+
+def _cell_counts(df: DataFrame, xs: list[Column], placed: list[tuple[int, list[float], list[float]]]) -> DataFrame:
+    """(_at, _cell, _v, _c): rows of every cell, and of every value inside a bracket; NaN is the largest value."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        outside = [np.zeros(2 * len(lo) + 1, dtype="int64") for _, lo, _ in placed]
+        schema = pa.schema([("_at", pa.int32()), ("_cell", pa.int32()), ("_v", pa.float64()), ("_c", pa.int64())])
+        for batch in batches:
+            found = []
+            for i, (n, lo, hi) in enumerate(placed):
+                if not n:
+                    continue
+                x = batch.column(i).drop_null().to_numpy(zero_copy_only=False) + 0.0
+                v, c = np.unique(x, return_counts=True)  # one NaN, the last
+                nan = np.isnan(v)
+                cell, inside = np.zeros(len(v), dtype="int32"), np.zeros(len(v), dtype=bool)
+                for a, b in zip(lo, hi):
+                    over, above = (v >= a) | nan, (v > b) | (nan & (not np.isnan(b)))
+                    cell += over.astype("int32") + above
+                    inside |= over & ~above
+                outside[i] += np.bincount(cell[~inside], weights=c[~inside], minlength=len(outside[i])).astype("int64")
+                found.append((np.full(inside.sum(), i, dtype="int32"), cell[inside], v[inside], c[inside]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f)) for f in zip(*found)], schema=schema)
+        left = [(i, j, None, int(c)) for i, counts in enumerate(outside) for j, c in enumerate(counts) if c]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in left], schema.field(k).type) for k in range(4)], schema=schema)
+
+    return (df.select(*[x.alias(f"_x{i}") for i, x in enumerate(xs)]).mapInArrow(run, "_at int, _cell int, _v double, _c bigint")
+            .groupBy("_at", "_cell", "_v").agg(F.sum("_c").alias("_c")))
+
+
+def _grouped_counts(df: DataFrame, xs: list[Column], brackets: DataFrame, by: list[str], every: range) -> DataFrame:
+    """``_cell_counts`` by group, with the brackets of every group and probability."""
+    key = [*by, "_at"]
+    values = (df.select(*by, F.explode(F.array(*[F.struct(F.lit(i).alias("at"), x.alias("v")) for i, x in enumerate(xs)])).alias("_x"))
+              .select(*by, F.col("_x.at").alias("_at"), F.col("_x.v").alias("_v")).where("_v IS NOT NULL"))
+    v = F.col("_v")
+    cell = reduce(lambda a, b: a + b, [(v >= F.col("_lo")[j]).cast("int") + (v > F.col("_hi")[j]).cast("int") for j in every])
+    inside = reduce(lambda a, b: a | b, [(v >= F.col("_lo")[j]) & (v <= F.col("_hi")[j]) for j in every])
+    return (_joined(values, brackets.drop("_n"), key).select(*key, cell.alias("_cell"), F.when(inside, v).alias("_v"))
+            .groupBy(*key, "_cell", "_v").agg(F.count(F.lit(1)).alias("_c")))
+
+
 def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """(by..., column, n, q): non-null values of each column, and their quantiles as an array in the order of ``probs``.
 
@@ -74,22 +143,20 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: Sequence[f
     if not names:
         raise ValueError("no columns to take quantiles of")
     xs = [c.cast("double") for c in columns.values()]
-    if df.count() <= WHOLE:
+    rows = df.count()
+    if rows <= WHOLE:
         each = [F.struct(F.lit(name).alias("column"), F.count(x).alias("n"), F.percentile(x, probs).alias("q")) for name, x in zip(names, xs)]
         return df.groupBy(*by).agg(F.array(*each).alias("_all")).select(*by, F.explode("_all").alias("_c")).select(*by, "_c.*")
     key = [*by, "_at"]
     ensure_checkpoint_dir(df.sparkSession)
     # written, as more than one step reads them: the table itself is scanned twice
-    brackets = _brackets(df, xs, probs, by).checkpoint()
-    values = (df.select(*by, F.explode(F.array(*[F.struct(F.lit(i).alias("at"), x.alias("v")) for i, x in enumerate(xs)])).alias("_x"))
-              .select(*by, F.col("_x.at").alias("_at"), F.col("_x.v").alias("_v")).where("_v IS NOT NULL"))
-    v = F.col("_v")
-    every = range(len(probs))
-    cell = reduce(lambda a, b: a + b, [(v >= F.col("_lo")[j]).cast("int") + (v > F.col("_hi")[j]).cast("int") for j in every])
-    inside = reduce(lambda a, b: a | b, [(v >= F.col("_lo")[j]) & (v <= F.col("_hi")[j]) for j in every])
-    counted = (_joined(values, brackets.drop("_n"), key)
-               .select(*key, cell.alias("_cell"), F.when(inside, v).alias("_v"))
-               .groupBy(*key, "_cell", "_v").agg(F.count(F.lit(1)).alias("_c")).checkpoint())
+    if by:
+        brackets = _brackets(df, xs, probs, by).checkpoint()
+        counted = _grouped_counts(df, xs, brackets, by, range(len(probs))).checkpoint()
+    else:
+        placed = _placed(df, xs, probs, rows)
+        brackets = df.sparkSession.createDataFrame([(i, n) for i, (n, _, _) in enumerate(placed)], "_at int, _n bigint")
+        counted = _cell_counts(df, xs, placed).checkpoint()
 
     # cells in order of value (two a probability and one more), and the wanted ranks in each
     before = Window.partitionBy(*key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import ensure_checkpoint_dir
+
 #: hash buckets of a class; a bucket is the share of rows that one task ranks
 BUCKETS = 1 << 16
 
@@ -34,8 +36,10 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_fraction: floa
 
     Ids are distinct.  Bucket counts place the quota; only rows of the one
     bucket per class in which it ends are ranked, and every row is compared
-    with its class's last test key (one broadcast row per class).
+    with its class's last test key (one broadcast row per class, found once,
+    whatever the number of passes over the result).
     """
+    ensure_checkpoint_dir(df.sparkSession)
     keyed = df.withColumn("_key", hash_key(id_col, seed))
     keyed = keyed.withColumn("_bucket", F.floor(_unit(F.col("_key")) * buckets).cast("int"))
     counts = keyed.groupBy(F.col(label).alias("_class"), "_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -55,7 +59,7 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_fraction: floa
             .withColumn("_r", F.row_number().over(Window.partitionBy("_class").orderBy("_key", "_id")))
             .where(F.col("_r") <= F.col("_left"))
             .groupBy(F.col("_class").alias("_c")).agg(F.max(F.struct("_key", "_id")).alias("_cut")))
-    cuts = whole.join(last, F.col("_class").eqNullSafe(F.col("_c")), "left").drop("_c")
+    cuts = whole.join(last, F.col("_class").eqNullSafe(F.col("_c")), "left").drop("_c").checkpoint()
     is_test = (F.coalesce(F.col("_bucket") <= F.col("_whole"), F.lit(False))
                | F.coalesce(F.struct("_key", F.col(id_col).alias("_id")) <= F.col("_cut"), F.lit(False)))
     return (keyed.join(F.broadcast(cuts), own).withColumn("is_test", is_test)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import round_doubles
 from ..operators import clean, features, profile
+from ..session import staged
 from ..sources import fixtures
 
 TARGET = "target"
@@ -509,7 +510,7 @@ MANUAL_LABELS = {0: "Thin or excluded bureau file", 1: "Subprime borrowers"}
 
 
 def _seg(spark, sf):
-    return fixtures.segmented(spark, sf)
+    return staged(fixtures.segmented(spark, sf))
 
 
 def _profile(spark, sf):
@@ -638,7 +639,7 @@ NOT_FEATURES = ["unique_id", "target", "is_test"]
 
 
 def split_loans(spark, sf):
-    book = fixtures.loan_book(spark, sf).dropDuplicates()
+    book = staged(fixtures.loan_book(spark, sf).dropDuplicates())
     return split.stratified_split(book, "target", "unique_id", 0.2, SPLIT_SEED)
 
 
@@ -759,8 +760,8 @@ def model_table(spark, sf):
     raw = fixtures.loans_labelled(spark, sf)
     cleaned = (raw.transform(clean.rename_columns).transform(clean.serial_day_to_date)
                .transform(clean.standardize_missing).transform(clean.drop_duplicate_rows))
-    cleaned = clean.drop_noninformative_columns(
-        cleaned, [c for c in clean.rules.NONINFORMATIVE_COLUMNS if c != "unique_id"])
+    cleaned = staged(clean.drop_noninformative_columns(
+        cleaned, [c for c in clean.rules.NONINFORMATIVE_COLUMNS if c != "unique_id"]))
     return features.drop_temporal_columns(features.FeatureEngineer().fit_transform(cleaned))
 
 
@@ -846,8 +847,8 @@ def model_table_unlabelled(spark, sf):
     raw = fixtures.loans_unlabelled(spark, sf)
     cleaned = (raw.transform(clean.rename_columns).transform(clean.serial_day_to_date)
                .transform(clean.standardize_missing).transform(clean.drop_duplicate_rows))
-    cleaned = clean.drop_noninformative_columns(
-        cleaned, [c for c in clean.rules.NONINFORMATIVE_COLUMNS if c != "unique_id"])
+    cleaned = staged(clean.drop_noninformative_columns(
+        cleaned, [c for c in clean.rules.NONINFORMATIVE_COLUMNS if c != "unique_id"]))
     return features.drop_temporal_columns(features.FeatureEngineer().fit_transform(cleaned))
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def get_spark(app: str = "riskframe", cores: str | int = "*",
@@ -54,3 +56,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
                                       dir=os.environ.get("RISKFRAME_SCRATCH", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written once beside the checkpoints and read back, for tables that several passes read.
+
+    Parquet keeps the passes that need few columns small, which a checkpoint's
+    whole rows do not.  A table with a column of the null type, which Parquet
+    cannot hold, is checkpointed.
+    """
+    folder = ensure_checkpoint_dir(df.sparkSession)
+    if any(isinstance(f.dataType, T.NullType) for f in df.schema.fields):
+        return df.checkpoint()
+    path = f"{folder}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
