@@ -12,7 +12,7 @@ is that of ``percentile`` (linear interpolation between two ranks), which
 tables of up to ``WHOLE`` rows are given to, as two more scans cost them more.
 
 Without groups the sketch is one of some ``PLACING`` rows, which only place the
-brackets, and the second scan, over every row, is numpy's.  A rank that lay
+brackets, and the second scan, over every row, is numpy's; it counts the rows too.  A rank that lay
 outside its bracket would raise, never give another value.
 """
 
@@ -71,22 +71,31 @@ def _brackets(df: DataFrame, xs: list[Column], probs: list[float], by: list[str]
 
 
 def _placed(df: DataFrame, xs: list[Column], probs: list[float], rows: int) -> list[tuple[int, list[float], list[float]]]:
-    """(n, low ends, high ends) of each column: what ``_brackets`` finds, as numbers and from a sketch of some rows."""
-    row = df.agg(*[f(x).alias(f"{f.__name__}_{i}") for i, x in enumerate(xs) for f in (F.count, F.min, F.max)]).first()
-    part = min(1.0, PLACING / rows)
+    """(n, low ends, high ends) of each column: what ``_brackets`` finds, as numbers and from one sketch of some rows.
 
-    def room(n: int) -> float:
-        return MARGIN / ACCURACY + (SPREAD * 0.5 / (n * part) ** 0.5 if part < 1 else 0.0)
-    n = [row[f"count_{i}"] for i in range(len(xs))]
-    points = {i: sorted({min(max(p + s * room(n[i]), 0.0), 1.0) for p in probs for s in (-1, 1)}) for i in range(len(xs)) if n[i] > SMALL}
+    ``n`` is that of the sketch's rows, scaled up, and only tells small columns
+    apart; an end beyond all values is an infinity, or NaN, the largest value.
+    """
+    part = min(1.0, PLACING / rows)
     some = df.sample(part, seed=1) if part < 1 else df
-    sketch = some.agg(*[F.percentile_approx(xs[i], at, ACCURACY).alias(f"s_{i}") for i, at in points.items()]).first() if points else {}
+
+    def room(n: float) -> float:
+        return MARGIN / ACCURACY + (SPREAD * 0.5 / n ** 0.5 if part < 1 else 0.0)
+    # how many rows of a column the sketch will see is not known before: its ends are asked for by halves of the count
+    sizes = [2.0 * PLACING]
+    while part < 1 and sizes[-1] > SMALL * part and room(sizes[-1]) < 1:
+        sizes.append(sizes[-1] / 2)
+    points = sorted({p + s * room(n) for p in probs for s in (-1, 1) for n in sizes if 0 < p + s * room(n) < 1}) or [0.5]
+    row = some.agg(*[c for i, x in enumerate(xs) for c in (F.count(x).alias(f"n_{i}"), F.percentile_approx(x, points, ACCURACY).alias(f"s_{i}"))]).first()
 
     def end(i: int, p: float, sign: int) -> float:
-        at = p + sign * room(n[i]) if i in points else 0.0
-        if not 0 < at < 1 or sketch[f"s_{i}"] is None:
-            return row[f"min_{i}"] if sign < 0 else row[f"max_{i}"]
-        return sketch[f"s_{i}"][points[i].index(at)]
+        n = row[f"n_{i}"]
+        size = next((s for s in sizes if s <= n), None) if part < 1 else sizes[0]
+        at = p + sign * room(size) if size and n > SMALL * part else 0.0
+        if not 0 < at < 1:
+            return float("-inf") if sign < 0 else float("nan")
+        return row[f"s_{i}"][points.index(at)]
+    n = [row[f"n_{i}"] if part == 1 else max(1, int(row[f"n_{i}"] / part)) for i in range(len(xs))]
     return [(n[i], [end(i, p, -1) for p in probs], [end(i, p, 1) for p in probs]) if n[i] else (0, [], []) for i in range(len(xs))]
 
 
@@ -155,8 +164,10 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: Sequence[f
         counted = _grouped_counts(df, xs, brackets, by, range(len(probs))).checkpoint()
     else:
         placed = _placed(df, xs, probs, rows)
-        brackets = df.sparkSession.createDataFrame([(i, n) for i, (n, _, _) in enumerate(placed)], "_at int, _n bigint")
         counted = _cell_counts(df, xs, placed).checkpoint()
+        totals = counted.groupBy("_at").agg(F.sum("_c").alias("_n"))  # one row a column
+        every = df.sparkSession.createDataFrame([(i,) for i in range(len(xs))], "_at int")
+        brackets = every.join(F.broadcast(totals), "_at", "left").select("_at", F.coalesce("_n", F.lit(0).cast("bigint")).alias("_n"))
 
     # cells in order of value (two a probability and one more), and the wanted ranks in each
     before = Window.partitionBy(*key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
