@@ -13,6 +13,7 @@ chooses broadcast or shuffle from their measured size.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from math import ceil, floor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from ..functions import rules
 from ..functions.numeric import finite_or_null, is_numeric, numeric_columns  # noqa: F401
 from ..session import ensure_checkpoint_dir
 from .profile import distinct_counts
-from .quantile import quantile_values
+from .quantile import exact_quantiles, quantile_values
 from .split import assign_folds
 
 LOW_CARDINALITY_LIMIT = 10
@@ -137,7 +138,12 @@ class MedianImputeRobustScale:
 
     def fit(self, df: DataFrame) -> RobustScaleModel:
         xs = {c: finite_or_null(F.col(_name(c)).cast("double")) for c in self.columns}
-        found = quantile_values(df, xs, [0.5, 0.25, 0.75, *(self.cap or ())], self.approx)
+        quartiles, known = [0.5, 0.25, 0.75], {}
+        if self.cap and xs and not self.approx:
+            table = exact_quantiles(df, xs, [*quartiles, *self.cap]).collect()
+            found, known = {r["column"]: r["q"] for r in table}, {r["column"]: r["n"] for r in table}
+        else:
+            found = quantile_values(df, xs, [*quartiles, *(self.cap or ())], self.approx)
         if not self.cap:
             return RobustScaleModel({c: tuple(q or (0.0, 0.0, 0.0)) for c, q in found.items()}, {}, self.prefix)
         caps = {c: tuple(q[3:]) for c, q in found.items() if q}
@@ -146,7 +152,12 @@ class MedianImputeRobustScale:
         for c, x in xs.items():
             x = F.coalesce(x, F.lit((found[c] or [0.0])[0]))
             clipped[c] = F.least(F.greatest(x, F.lit(caps[c][0])), F.lit(caps[c][1])) if c in caps else x
-        scaled = quantile_values(df, clipped, [0.5, 0.25, 0.75], self.approx)
+        # where nothing is imputed and both neighbours of a quartile lie within the caps, clipping leaves the quartiles as they are
+        rows = df.count() if known else None
+        kept = {c: found[c][:3] for c, n in known.items() if n and n == rows and all(
+            floor(p * (n - 1)) >= ceil(self.cap[0] * (n - 1)) and ceil(p * (n - 1)) <= floor(self.cap[1] * (n - 1)) for p in quartiles)}
+        again = quantile_values(df, {c: x for c, x in clipped.items() if c not in kept}, quartiles, self.approx)
+        scaled = {c: kept[c] if c in kept else again[c] for c in self.columns}
         # the centre of the scaled value is the clipped median
         return RobustScaleModel({c: tuple(q or (0.0, 0.0, 0.0)) for c, q in scaled.items()}, caps, self.prefix)
 
